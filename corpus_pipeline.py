@@ -1,23 +1,56 @@
-"""A training corpus from raw documents: the stages in order, each over all that its predecessor kept."""
+"""A training corpus from raw documents: the stages in order, each over all that its predecessor kept.
+
+The filtering stages learn from their own input, decide about every row of it and return the columns of
+``documents``; the last one returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lamella.llm import language_id as languages
+from lamella.llm import toxicity as toxic
+from lamella.llm._join import keep_rows
 from lamella.llm._scratch import Scratch
 from lamella.llm.exact_dedup import drop_copies
 from lamella.llm.minhash_dedup import drop_near
+from lamella.llm.packing import pack
+
+#: A text goes where no language explains it, or two do about equally.
+LEAST_LANGUAGE_SCORE = 0.5
+TOXIC_SCORE = 0.7
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and those whose best language has a posterior below one half."""
+    found = languages.identify(docs, languages.train(docs))
+    return keep_rows(docs, found.where(f"lang_pred = 'und' or score < {LEAST_LANGUAGE_SCORE}").select("doc_id"), "doc_id")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that score 0.7 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxic.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return keep_rows(docs, toxic.score(docs, model).where(F.col("score") >= TOXIC_SCORE).select("doc_id"), "doc_id")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, the longest original stays."""
     return drop_copies(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each component over five-word shingles and a similarity of 0.8."""
     return drop_near(docs, width=5, percent=80)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("minhash_near_dedup", minhash_near_dedup)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens; a row is a piece of a document in its sequence, with the token ids."""
+    return pack(docs)
+
+
+STAGES = [("language_id", language_id), ("toxicity", toxicity), ("exact_dedup", exact_dedup), ("minhash_near_dedup", minhash_near_dedup), ("packing", packing)]
 
 #: Learned models decide in the first two stages, which SQL can't express.
 ORACLE_SQL = None

@@ -4,16 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, toxicity
 from .exact_dedup import exact_groups
 from .minhash_dedup import near_groups
+from .packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def _held_out(parts: int, which: int) -> Column:
+    return F.coalesce(_remainder(parts) == which, F.lit(False)).alias("held_out")
+
+
+def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(_remainder(3) != 1).select("doc_id", "toxic")
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(_remainder(4) != 2))
+    return language_id.identify(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -38,7 +68,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pack_documents, op2_toxicity, op9_language_id, op3_minhash_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
