@@ -1,16 +1,17 @@
 """Near-duplicate detection by HyperMinHash sketches with exact verification.
 
 A text's set holds its distinct shingles of ``width`` words (A-Z lower-cased). One hash per shingle serves all:
-its low 7 bits pick one of 128 buckets, and the smallest remainder in a bucket is stored as a 16-bit register,
+its low 8 bits pick one of 256 buckets, and the smallest remainder in a bucket is stored as a 16-bit register,
 the count of leading zeros (6 bits) and the 10 bits after the first one.
 
 1. Sketch: one pass over the texts gives (id, set size, 128-bit digest of the set, registers). Equal sets become
    one class, represented by its smallest id.
-2. Candidates: registers in 32 bands of 4. At a similarity of 0.8 the chance that no band agrees is below 5e-8.
+2. Candidates: registers in 42 bands of 6. At a similarity of 0.8 the chance that no band agrees is below 3e-6.
    Bands without any register say nothing and are left out.
 3. First pass: each representative meets one partner, the bucket minimum with which it shares most bands.
 4. Second pass: where a bucket still holds several components, all its pairs across components are candidates, so no link
-   that joins two components is lost and no pair inside a component is made.
+   that joins two components is lost and no pair inside a component is made. Pairs whose lowest register bits differ
+   more than six standard deviations beyond what the threshold gives are dropped as they are made.
 5. In both passes the collision-corrected Jaccard estimate drops pairs more than six standard deviations below
    the threshold; the rest are verified on full sets, recomputed from whole texts.
 
@@ -37,32 +38,32 @@ from ._join import keep_rows, left_join_by_weight
 from ._scratch import Scratch
 from ._words import U64, shingle_keys, slabs, span_hash, word_spans
 
-BUCKETS, BAND = 128, 4
+BUCKETS, BAND = 256, 6
 BANDS = BUCKETS // BAND
 MANTISSA = 10
-_HEADS = np.arange(BUCKETS, dtype=U64) << U64(57)
+_HEADS = np.arange(BUCKETS, dtype=U64) << U64(56)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each text its sorted set of shingle keys; the top 7 bits of a key are its bucket."""
+    """For each text its sorted set of shingle keys; the top 8 bits of a key are its bucket."""
     rows = len(offs) - 1
     start, end, row = word_spans(data, offs)
     keys, where = shingle_keys(span_hash(data, start, end), row, rows, width)
-    keys = (keys << U64(57)) | (keys >> U64(7))
+    keys = (keys << U64(56)) | (keys >> U64(8))
     cut = np.searchsorted(where, np.arange(rows + 1))
     return [np.unique(keys[cut[i] : cut[i + 1]]) for i in range(rows)]
 
 
 def registers(keys: np.ndarray) -> np.ndarray:
-    """The 128 registers of a sorted key set, 0 for an empty bucket."""
+    """The 256 registers of a sorted key set, 0 for an empty bucket."""
     out = np.zeros(BUCKETS, np.uint16)
     if not len(keys):
         return out
     at = np.searchsorted(keys, _HEADS)
     at[at == len(keys)] = len(keys) - 1
     least = keys[at]
-    full = np.flatnonzero((least >> U64(57)) == np.arange(BUCKETS, dtype=U64))
-    rest = ((least[full] & U64(2**57 - 1)) >> U64(8)).astype(np.float64)  # 49 bits: exact as a double
+    full = np.flatnonzero((least >> U64(56)) == np.arange(BUCKETS, dtype=U64))
+    rest = ((least[full] & U64(2**56 - 1)) >> U64(7)).astype(np.float64)  # 49 bits: exact as a double
     m, e = np.frexp(rest)
     tail = np.where(rest > 0, (m - 0.5) * 2 ** (MANTISSA + 1), 0).astype(np.uint16)
     out[full] = ((49 - e).astype(np.uint16) << MANTISSA | tail) + 1
@@ -85,14 +86,18 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slabs(batches, "t"):
-            n, hi, lo, regs = [], [], [], []
+            n, hi, lo, regs, low = [], [], [], [], []
             for keys in shingle_sets(data, offs, width):
                 d = xxhash.xxh3_128_intdigest(keys.tobytes())
                 n.append(len(keys))
                 hi.append((d >> 64) - 2**63)
                 lo.append((d & (2**64 - 1)) - 2**63)
-                regs.append(registers(keys).tobytes())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "set_hi", "set_lo", "regs"])
+                r = registers(keys)
+                regs.append(r.tobytes())
+                low.append(np.packbits(r[: 2 * 64] & 1).view(np.int64))
+            low_0, low_1 = np.array(low).T
+            columns = [rows.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary()), pa.array(low_0), pa.array(low_1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hi", "set_lo", "regs", "low_0", "low_1"])
 
     return run
 
@@ -142,12 +147,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    sketch = scratch.write(rows.mapInArrow(_sketch(width), "doc_id long, n_shingles long, set_hi long, set_lo long, regs binary"), "sketch")
+    sketch = scratch.write(rows.mapInArrow(_sketch(width), "doc_id long, n_shingles long, set_hi long, set_lo long, regs binary, low_0 long, low_1 long"), "sketch")
     total = sketch.count()
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.write(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"])
-    reps = scratch.write(reps.groupBy("doc_id", "set_hi", "set_lo").agg(F.first("n_shingles").alias("n"), F.first("regs").alias("regs")).select(F.col("doc_id").alias("rep"), "n", "regs"), "reps")
+    reps = scratch.write(reps.groupBy("doc_id", "set_hi", "set_lo").agg(F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("regs", "low_0", "low_1"))).select(F.col("doc_id").alias("rep"), "n", "regs", "low_0", "low_1"), "reps")
 
     band = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> struct(i, substring(regs, {2 * BAND} * i + 1, {2 * BAND}) as part))")).alias("x")
     bands = reps.select("rep", band).where(F.expr(f"x.part <> x'{'00' * 2 * BAND}'")).select("rep", F.xxhash64("x.i", "x.part").alias("key"))
@@ -171,12 +176,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = verified(first, "first")
     found = scratch.write(components(links, scratch, "cc-first"), "found")
-    placed = bands.join(found, bands["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    placed = scratch.write(placed, "placed")
+    bits = reps.select("rep", "low_0", "low_1").join(found, reps["rep"] == found["node"], "left").select("rep", F.coalesce("component", "rep").alias("c"), "low_0", "low_1")
+    placed = scratch.write(bands.select("key", "rep").join(bits, "rep").select("key", "rep", "c", "low_0", "low_1"), "placed")
     open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     placed = placed.join(open_keys, "key")
-    x, y = placed.toDF("key", "a", "ca"), placed.toDF("key", "b", "cb")
-    across = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    x, y = placed.toDF("key", "a", "ca", "a0", "a1"), placed.toDF("key", "b", "cb", "b0", "b1")
+    across = x.join(y, "key").where(f"a < b and ca <> cb and bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= {_most_bits(percent)}").select("a", "b").distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(across.join(tried, ["a", "b"], "left_anti"), "second")
     final = components(links.union(more), scratch, "cc-second")
@@ -185,7 +190,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _result(sketch: DataFrame, classes: DataFrame, final: DataFrame, total: int) -> DataFrame:
     named = classes.join(final, classes["rep"] == final["node"], "left").select("set_hi", "set_lo", "members", F.coalesce("component", "rep").alias("component"))
-    out = left_join_by_weight(sketch.drop("regs").where("n_shingles > 0"), named, ["set_hi", "set_lo"], "members", total)
+    out = left_join_by_weight(sketch.drop("regs", "low_0", "low_1").where("n_shingles > 0"), named, ["set_hi", "set_lo"], "members", total)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     bare = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -197,6 +202,12 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return keep_rows(docs, near_groups(docs, id_col, text_col, width, percent).where("not kept").select("doc_id"), id_col)
 
 
+def _most_bits(percent: int) -> int:
+    """Of 128 lowest register bits, as many as can differ at the threshold, six standard deviations above the mean."""
+    q = (1 - percent / 100) / 2
+    return math.ceil(128 * q + 6 * math.sqrt(128 * q * (1 - q)))
+
+
 def miss_chance(similarity: float) -> float:
     """The chance that no band of a pair of large sets agrees."""
     return math.pow(1 - similarity**BAND, BANDS)
