@@ -62,90 +62,91 @@ def _dropped(key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, bar:
     return mix(h) < U64(bar)
 
 
-def merge_all(words: list[np.ndarray], merges: Merges, keys: np.ndarray | None = None, drop: float = 0.0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each word of symbol ids: its merged ids and where each starts, in symbols.
+def merge_all(flat: np.ndarray, offs: np.ndarray, merges: Merges, keys: np.ndarray | None = None, drop: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Merge words of symbol ids, laid one after another: (ids, offsets).
 
     Id -1 never merges. ``keys``: a 64-bit key per word; with them a candidate merge is dropped with chance ``drop``.
     """
-    out: list = [None] * len(words)
-    lengths = np.array([len(w) for w in words], np.int64)
+    lengths = np.diff(offs)
+    out, size = flat.astype(np.int32), lengths.copy()
     bar = min(int(drop * 2.0**64), 2**64 - 1) if keys is not None else 0
     order = np.argsort(lengths, kind="stable")
-    at = 0
-    while at < len(order):
-        n = int(lengths[order[at]])
-        if n > LONG:
-            break
-        to = int(np.searchsorted(lengths[order], max(n + n // 4, 1), "right"))
+    ordered = lengths[order]
+    at = int(np.searchsorted(ordered, 1, "right"))
+    while at < len(order) and ordered[at] <= LONG:
+        to = int(np.searchsorted(ordered, ordered[at] + max(1, ordered[at] // 4), "right"))
         to = min(to, at + 20_000)
-        _group(order[at:to], words, lengths, merges, keys, bar, out)
+        _group(order[at:to], flat, offs, merges, keys, bar, out, size)
         at = to
     for k in order[at:]:
-        out[k] = _one(words[k], merges, None if keys is None else int(keys[k]), bar)
-    return out
-
-
-def _group(which: np.ndarray, words: list[np.ndarray], lengths: np.ndarray, merges: Merges, keys: np.ndarray | None, bar: int, out: list) -> None:
-    width = int(lengths[which[-1]])
-    if width == 0:
-        for k in which:
-            out[k] = (np.zeros(0, np.int32), np.zeros(0, np.int32))
-        return
-    n = len(which)
-    size = lengths[which].copy()
-    total = size.copy()
-    sym = np.full((n, width), -1, np.int32)
+        ids = _one(flat[offs[k] : offs[k + 1]], merges, None if keys is None else int(keys[k]), bar)
+        out[offs[k] : offs[k] + len(ids)] = ids
+        size[k] = len(ids)
+    inside = np.arange(len(flat)) - np.repeat(offs[:-1], lengths)
+    return out[inside < np.repeat(size, lengths)], np.concatenate([[0], np.cumsum(size)])
+
+
+def _group(which: np.ndarray, flat: np.ndarray, offs: np.ndarray, merges: Merges, keys: np.ndarray | None, bar: int, out: np.ndarray, sizes: np.ndarray) -> None:
+    total = (offs[which + 1] - offs[which]).astype(np.int32)
+    width, n = int(total.max()), len(which)
+    size = total.copy()
     inside = np.arange(width) < size[:, None]
-    sym[inside] = np.concatenate([words[k] for k in which])
-    pos = np.where(inside, np.arange(width), size[:, None]).astype(np.int32)
+    sym = np.full((n, width), -1, np.int32)
+    sym[inside] = flat[(offs[which][:, None] + np.arange(width))[inside]]
     key = keys[which] if keys is not None else None
+    pos = np.where(inside, np.arange(width, dtype=np.int32), total[:, None]) if bar else None
     rank, made = merges.look(sym[:, :-1], sym[:, 1:])
     rank[~inside[:, 1:]] = NONE
-    if bar and width > 1:
-        end = np.concatenate([pos[:, 2:], np.broadcast_to(total[:, None], (n, 1)).astype(np.int32)], 1)
+    if bar:
+        end = np.concatenate([pos[:, 2:], total[:, None]], 1)
         rank[_dropped(key[:, None], pos[:, :-1], pos[:, 1:], end, bar)] = NONE
     live = np.arange(n)
-    while width > 1 and len(live):
+
+    def done(rows: np.ndarray) -> None:
+        m = size[rows]
+        inner = np.arange(sym.shape[1]) < m[:, None]
+        word = which[live[rows]]
+        out[(offs[word][:, None] + np.arange(sym.shape[1]))[inner]] = sym[rows][inner]
+        sizes[word] = m
+
+    while True:
+        m = sym.shape[1]
+        if m < 2:
+            return done(np.arange(len(live)))
         j = rank.argmin(1)
-        r = np.arange(len(live))
-        go = rank[r, j] != NONE
+        go = rank[np.arange(len(live)), j] != NONE
         if not go.all():
-            stop = np.flatnonzero(~go)
-            for s in stop:
-                m = size[s]
-                out[which[live[s]]] = (sym[s, :m].copy(), pos[s, :m].copy())
+            done(np.flatnonzero(~go))
             keep = np.flatnonzero(go)
-            live, sym, pos, rank, made, size, j = live[keep], sym[keep], pos[keep], rank[keep], made[keep], size[keep], j[keep]
-            if not len(live):
-                break
-            r = np.arange(len(live))
+            if not len(keep):
+                return None
+            m = int(size[keep].max())
+            live, sym, rank, made, size, j = live[keep], sym[keep, :m], rank[keep, : m - 1], made[keep, : m - 1], size[keep], j[keep]
+            pos = pos[keep, :m] if bar else None
+        r = np.arange(len(live))
         sym[r, j] = made[r, j]
-        m = sym.shape[1]
         src = np.arange(m - 1)
         src = src + (src > j[:, None])
-        sym, pos = np.take_along_axis(sym, src, 1), np.take_along_axis(pos, src, 1)
+        sym = np.take_along_axis(sym, src, 1)
         size -= 1
-        if m - 1 < 2:
-            for s in range(len(live)):
-                out[which[live[s]]] = (sym[s, : size[s]].copy(), pos[s, : size[s]].copy())
-            return
+        if bar:
+            pos = np.take_along_axis(pos, src, 1)
+        if m < 3:
+            continue
         src = np.arange(m - 2)
-        src = np.minimum(src + (src > j[:, None] - 1) * 1, m - 2)
+        src = src + (src >= j[:, None])
         rank, made = np.take_along_axis(rank, src, 1), np.take_along_axis(made, src, 1)
-        span = total[live]
         for left in (j - 1, j):
             ok = np.flatnonzero((left >= 0) & (left + 1 < size))
-            a, b = sym[ok, left[ok]], sym[ok, left[ok] + 1]
-            new_rank, new_made = merges.look(a, b)
+            at = left[ok]
+            new_rank, new_made = merges.look(sym[ok, at], sym[ok, at + 1])
             if bar:
-                p2 = np.where(left[ok] + 2 < size[ok], pos[ok, np.minimum(left[ok] + 2, m - 2)], span[ok])
-                new_rank = np.where(_dropped(key[live[ok]], pos[ok, left[ok]], pos[ok, left[ok] + 1], p2, bar), NONE, new_rank)
-            rank[ok, left[ok]], made[ok, left[ok]] = new_rank, new_made
-    for s in range(len(live)):
-        out[which[live[s]]] = (sym[s, : size[s]].copy(), pos[s, : size[s]].copy())
+                stop = np.where(at + 2 < size[ok], pos[ok, np.minimum(at + 2, m - 2)], total[live[ok]])
+                new_rank = np.where(_dropped(key[live[ok]], pos[ok, at], pos[ok, at + 1], stop, bar), NONE, new_rank)
+            rank[ok, at], made[ok, at] = new_rank, new_made
 
 
-def _one(word: np.ndarray, merges: Merges, key: int | None, bar: int) -> tuple[np.ndarray, np.ndarray]:
+def _one(word: np.ndarray, merges: Merges, key: int | None, bar: int) -> np.ndarray:
     """One long word through a heap agenda."""
     n = len(word)
     sym, nxt, prv, alive = word.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -174,5 +175,4 @@ def _one(word: np.ndarray, merges: Merges, key: int | None, bar: int) -> tuple[n
         if prv[a] >= 0:
             offer(prv[a])
         offer(a)
-    keep = [k for k in range(n) if alive[k]]
-    return np.array([sym[k] for k in keep], np.int32), np.array(keep, np.int32)
+    return np.array([s for s, a in zip(sym, alive) if a], np.int32)

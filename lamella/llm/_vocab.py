@@ -63,13 +63,14 @@ class WordEncoder:
                 other.append((w, s))
         if plain:
             parts = list({p for ps in plain.values() for p in ps})
-            coded = []
-            for p in parts:
-                b = np.frombuffer(p.encode(), np.uint8)
-                ids = self.inner[b]
-                ids[-1] = self.last[b[-1]]
-                coded.append(ids)
-            made = {p: ids.astype("<u4").tobytes() for p, (ids, _) in zip(parts, merge_all(coded, self.merges))}
+            raw = [p.encode() for p in parts]
+            offs = np.cumsum([0] + [len(b) for b in raw])
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            symbols = self.inner[data]
+            symbols[offs[1:] - 1] = self.last[data[offs[1:] - 1]]
+            ids, cut = merge_all(symbols, offs, self.merges)
+            coded, cut = ids.astype("<u4").tobytes(), (4 * cut).tolist()
+            made = {p: coded[a:b] for p, a, b in zip(parts, cut, cut[1:])}
             for w, ps in plain.items():
                 self.memo[w] = b"".join([made[p] for p in ps])
         if other:

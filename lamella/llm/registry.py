@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, merge_dropout, toxicity, warc
+from .cover_tree import near_vectors
 from .exact_dedup import exact_groups
 from .minhash_dedup import near_groups
 from .packing import pack
+from .sharding import shard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,28 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(_table(spark, sf_dir, "documents"), shards=40)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the text decoded from them, which equals the digest of the document's text."""
+    coded = merge_dropout.encode(_table(spark, sf_dir, "documents"), seed=17, drop=0.1).withColumn("ids_crc32", F.crc32("ids"))
+    decoded = merge_dropout.decode(coded, carry=["ids_crc32"])
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
+
+
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(_table(spark, sf_dir, "pages"))
+    records = warc.parse_records(warc.read_records(spark, archive))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(_remainder(4) != 2))
@@ -52,7 +76,65 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_pack_documents,
+    op2_toxicity,
+    op3_minhash_near_dedup,
+    op4_cover_tree_near_dedup,
+    op5_minimax_sharding,
+    op6_merge_dropout,
+    op7_warc_archive,
+    op9_language_id,
+    op10_exact_dedup,
+)
+
+#: The sums and joins of whole tables that DuckDB does in seconds at a scale of 0.01.
 SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM w
+), g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n
+  FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM common WHERE 100 * n >= 80 * (na + nb - n)),
+twoway AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN twoway l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c USING (doc_id)
+""",
+    "op4_cover_tree_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= CAST(0.98 AS DOUBLE)
+),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+""",
+    "op7_warc_archive": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
+), q AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id FROM p
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM q
+""",
     "op10_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm
@@ -68,7 +150,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_documents, op2_toxicity, op9_language_id, op3_minhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
