@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that score 0.7 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxic.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxic.train(docs, labels)
     return keep_rows(docs, toxic.score(docs, model).where(F.col("score") >= TOXIC_SCORE).select("doc_id"), "doc_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, merge_dropout, toxicity, warc
+from .attention_lm import score_documents
 from .cover_tree import near_vectors
 from .exact_dedup import exact_groups
 from .minhash_dedup import near_groups
@@ -35,7 +36,7 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(_remainder(3) != 1).select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -62,6 +63,11 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(_table(spark, sf_dir, "documents"), _remainder(5) != 1)
+    return scored.withColumn("held_out", _held_out(5, 1))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(_remainder(4) != 2))
@@ -84,6 +90,7 @@ QUERIES = (
     op5_minimax_sharding,
     op6_merge_dropout,
     op7_warc_archive,
+    op8_attention_lm,
     op9_language_id,
     op10_exact_dedup,
 )

@@ -4,7 +4,7 @@ A word's vector is the mean of its n-grams' vectors (3 to 5 characters, with wor
 mean over its words, and a linear softmax turns it into a probability. Vectors and softmax are trained together by Adam
 in numpy, so a misspelling never seen in training still scores through the n-grams that it shares.
 
-Fitting takes a bounded sample of labelled rows: of each class about ``SAMPLE_BYTES`` bytes of text, chosen by a
+Fitting takes a bounded sample of labelled rows: of each class about ``SAMPLE_ROWS`` documents, chosen by a
 hash of the id. Scores cover all rows and whole texts. As everything after the n-grams is linear, a word adds one
 number to its text's mean, which is remembered by word.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._memo import WordMemo, padded
 from ._words import LOWER, U64, slabs, span_hash, word_spans
 
-SAMPLE_BYTES = 6_000_000
+SAMPLE_ROWS = 3000
 BUCKET_BITS = 16
 MIN_DOCS = 3
 #: Words without any weight that every text's mean counts besides its own, so a few words alone say little.
@@ -193,19 +193,23 @@ def _score(logits: np.ndarray | None, bias: float):
     return run
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel | None:
-    """Fit on about ``sample_bytes`` of text per class; None where a class is missing. Only this sample reaches the driver."""
-    rows = labelled.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("t is not null and y in (0, 1)")
-    sizes = {r["y"]: r["b"] for r in rows.groupBy("y").agg(F.sum(F.octet_length("t")).alias("b")).collect()}
-    if len(sizes) < 2:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel | None:
+    """Fit on about ``sample_rows`` labelled documents per class; None where a class is missing.
+
+    The sample is drawn from the labels, which are small, so one scan of the texts finds it by a broadcast
+    of at most four times ``sample_rows`` ids. Only the sample reaches the driver.
+    """
+    marks = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
+    sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spot: Column = F.pmod(F.xxhash64("i", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.when(F.col("y") == 0, min(1.0, sample_rows / max(sizes.get(0, 1), 1))).otherwise(min(1.0, sample_rows / max(sizes.get(1, 1), 1)))
+    taken = F.broadcast(marks.where(spot < share).distinct().limit(4 * sample_rows))
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    found = rows.join(taken, "i").select("t", "y").toArrow()
+    labels_found = found["y"].to_numpy()
+    if len(set(labels_found.tolist())) < 2:
         return None
-    spot: Column = F.pmod(F.xxhash64(F.coalesce("i", F.lit(0)), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("y") == 0, min(1.0, sample_bytes / max(sizes[0], 1))).otherwise(min(1.0, sample_bytes / max(sizes[1], 1)))
-    taken = rows.where(spot < share).select("t", "y").toArrow()
-    labels = taken["y"].to_numpy()
-    if len(set(labels.tolist())) < 2:
-        return None
-    return fit(taken["t"].to_pylist(), labels)
+    return fit(found["t"].to_pylist(), labels_found)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
