@@ -12,7 +12,7 @@ from ._bpe import Merges, merge_all
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Chunks of these characters are stable under NFC, and every version of Unicode classes them alike.
-PLAIN = regex.compile(r"[\x21-\x7eÀ-įı-ňŊ-ž]+")
+PLAIN_LINES = regex.compile(r"(?m)^(?![^\n]*<\|)[\x21-\x7eÀ-įı-ňŊ-ž]{1,64}$")
 
 
 def vocabulary_path(name: str) -> str:
@@ -51,30 +51,27 @@ class WordEncoder:
         letters = _byte_letters()
         self.inner = np.array([vocab.get(x, -1) for x in letters], np.int32)
         self.last = np.array([vocab.get(x + suffix, -1) for x in letters], np.int32)
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, other = {}, []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            if len(w) <= 64 and b"<|" not in w and PLAIN.fullmatch(s):
-                plain[w] = self.split.findall(s.lower())
-            else:
-                other.append((w, s))
-        if plain:
-            parts = list({p for ps in plain.values() for p in ps})
-            raw = [p.encode() for p in parts]
-            offs = np.cumsum([0] + [len(b) for b in raw])
-            data = np.frombuffer(b"".join(raw), np.uint8)
+        plain = PLAIN_LINES.findall(b"\n".join(words).decode("utf-8", "replace"))
+        # The parts of all plain words in one string: a zero byte between parts, a line end after each word.
+        parts = self.split.findall("\n".join(plain).lower() + "\n") if plain else []
+        data = np.frombuffer("\0".join(parts).encode(), np.uint8)
+        if len(data):
+            border = np.flatnonzero(data == 0)
+            start, end = np.concatenate([[0], border + 1]), np.append(border, len(data))
+            line = data[start] == 10
+            word, start, end = (np.cumsum(line) - line)[~line], start[~line], end[~line]
             symbols = self.inner[data]
-            symbols[offs[1:] - 1] = self.last[data[offs[1:] - 1]]
-            ids, cut = merge_all(symbols, offs, self.merges)
-            coded, cut = ids.astype("<u4").tobytes(), (4 * cut).tolist()
-            made = {p: coded[a:b] for p, a, b in zip(parts, cut, cut[1:])}
-            for w, ps in plain.items():
-                self.memo[w] = b"".join([made[p] for p in ps])
+            symbols[end - 1] = self.last[data[end - 1]]
+            solid = (data != 0) & (data != 10)
+            ids, cut = merge_all(symbols[solid], np.concatenate([[0], np.cumsum(end - start)]), self.merges)
+            coded, at = ids.astype("<u4").tobytes(), (4 * cut[np.searchsorted(word, np.arange(len(plain) + 1))]).tolist()
+            self.memo.update(zip([w.encode() for w in plain], [coded[a:b] for a, b in zip(at, at[1:])]))
+        other = [w for w in words if w not in self.memo]
         if other:
-            for (w, _), c in zip(other, self.model.encode_batch([s for _, s in other], add_special_tokens=False)):
+            for w, c in zip(other, self.model.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)):
                 self.memo[w] = np.array(c.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
