@@ -6,12 +6,12 @@ the count of leading zeros (6 bits) and the 10 bits after the first one.
 
 1. Sketch: one pass over the texts gives (id, set size, 128-bit digest of the set, registers). Equal sets become
    one class, represented by its smallest id.
-2. Candidates: registers in 42 bands of 6. At a similarity of 0.8 the chance that no band agrees is below 3e-6.
-   Bands without any register say nothing and are left out.
+2. Candidates: registers in 42 bands of 6; an empty bucket borrows a filled one's register in an order of its own. At
+   a similarity of 0.8 the chance that no band agrees is below 3e-6.
 3. First pass: each representative meets one partner, the bucket minimum with which it shares most bands.
 4. Second pass: where a bucket still holds several components, all its pairs across components are candidates, so no link
-   that joins two components is lost and no pair inside a component is made. Pairs whose lowest register bits differ
-   more than six standard deviations beyond what the threshold gives are dropped as they are made.
+   that joins two components is lost and no pair inside a component is made. Pairs whose set sizes rule a link out, or whose lowest
+   register bits differ more than six standard deviations beyond what the threshold gives, are dropped as they are made.
 5. In both passes the collision-corrected Jaccard estimate drops pairs more than six standard deviations below
    the threshold; the rest are verified on full sets, recomputed from whole texts.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._join import keep_rows, left_join_by_weight
 from ._scratch import Scratch
-from ._words import U64, shingle_keys, slabs, span_hash, word_spans
+from ._words import U64, mix, shingle_keys, slabs, span_hash, word_spans
 
 BUCKETS, BAND = 256, 6
 BANDS = BUCKETS // BAND
@@ -70,6 +70,47 @@ def registers(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+#: For every bucket all buckets in an order of its own: where an empty one borrows its register.
+_LOANS = np.argsort(np.random.default_rng(2017).random((BUCKETS, BUCKETS)), axis=1).astype(np.uint8)
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Registers whose empty buckets hold the first filled one's in their order, so each agrees with a chance near the similarity."""
+    filled = regs != 0
+    empty = np.flatnonzero(~filled)
+    if not len(empty) or len(empty) == BUCKETS:
+        return regs
+    out = regs.copy()
+    for columns in (16, BUCKETS):
+        loans = _LOANS[empty, :columns]
+        usable = filled[loans]
+        first = usable.argmax(1)
+        got = usable[np.arange(len(empty)), first]
+        out[empty[got]] = regs[loans[got, first[got]]]
+        empty = empty[~got]
+        if not len(empty):
+            break
+    return out
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """[texts, BANDS] 64-bit keys from [texts, BUCKETS] registers."""
+    dense = np.stack([densified(r) for r in regs])[:, : BANDS * BAND].reshape(len(regs), BANDS, BAND).astype(U64)
+    h = np.broadcast_to(np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15), dense.shape[:2])
+    for at in range(0, BAND, 3):
+        h = mix(h + (dense[:, :, at] << U64(32) | dense[:, :, at + 1] << U64(16) | dense[:, :, at + 2]) * U64(0xD1342543DE82EF95))
+    return h
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            keys = band_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS))
+            reps = np.repeat(part.column(0).to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(reps)], names=["key", "rep"])
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimates of pairs, and the registers they rest on.
 
@@ -94,7 +135,7 @@ def _sketch(width: int):
                 lo.append((d & (2**64 - 1)) - 2**63)
                 r = registers(keys)
                 regs.append(r.tobytes())
-                low.append(np.packbits(r[: 2 * 64] & 1).view(np.int64))
+                low.append(np.packbits((densified(r)[: 2 * 64] & 1).astype(np.uint8)).view(np.int64))
             low_0, low_1 = np.array(low).T
             columns = [rows.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary()), pa.array(low_0), pa.array(low_1)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hi", "set_lo", "regs", "low_0", "low_1"])
@@ -154,10 +195,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"])
     reps = scratch.write(reps.groupBy("doc_id", "set_hi", "set_lo").agg(F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("regs", "low_0", "low_1"))).select(F.col("doc_id").alias("rep"), "n", "regs", "low_0", "low_1"), "reps")
 
-    band = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> struct(i, substring(regs, {2 * BAND} * i + 1, {2 * BAND}) as part))")).alias("x")
-    bands = reps.select("rep", band).where(F.expr(f"x.part <> x'{'00' * 2 * BAND}'")).select("rep", F.xxhash64("x.i", "x.part").alias("key"))
+    bands = reps.select("rep", "regs").mapInArrow(_bands, "key long, rep long")
+    bands = scratch.write(bands, "all-bands")
     shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     bands = scratch.write(bands.join(shared, "key").select("key", "rep", "pivot"), "bands")
+    scratch.drop("all-bands")
 
     votes = bands.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("votes"))
     first = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("m"))).alias("x")).select(F.col("rep").alias("b"), (-F.col("x.m")).alias("a"))
@@ -176,12 +218,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = verified(first, "first")
     found = scratch.write(components(links, scratch, "cc-first"), "found")
-    bits = reps.select("rep", "low_0", "low_1").join(found, reps["rep"] == found["node"], "left").select("rep", F.coalesce("component", "rep").alias("c"), "low_0", "low_1")
-    placed = scratch.write(bands.select("key", "rep").join(bits, "rep").select("key", "rep", "c", "low_0", "low_1"), "placed")
+    bits = reps.select("rep", "n", "low_0", "low_1").join(found, reps["rep"] == found["node"], "left").select("rep", F.coalesce("component", "rep").alias("c"), "n", "low_0", "low_1")
+    placed = scratch.write(bands.select("key", "rep").join(bits, "rep").select("key", "rep", "c", "n", "low_0", "low_1"), "placed")
     open_keys = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     placed = placed.join(open_keys, "key")
-    x, y = placed.toDF("key", "a", "ca", "a0", "a1"), placed.toDF("key", "b", "cb", "b0", "b1")
-    across = x.join(y, "key").where(f"a < b and ca <> cb and bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= {_most_bits(percent)}").select("a", "b").distinct()
+    x, y = placed.toDF("key", "a", "ca", "na", "a0", "a1"), placed.toDF("key", "b", "cb", "nb", "b0", "b1")
+    sizes = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    alike = f"bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= if(least(na, nb) < {BUCKETS}, 128, {_most_bits(percent)})"
+    across = x.join(y, "key").where(f"a < b and ca <> cb and {sizes} and {alike}").select("a", "b").distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(across.join(tried, ["a", "b"], "left_anti"), "second")
     final = components(links.union(more), scratch, "cc-second")
