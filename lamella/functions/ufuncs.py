@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .dtypes import truncated
 
@@ -100,7 +101,7 @@ def _shift(left: bool) -> Callable[[Column, Column], Column]:
     return build
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _nextafter(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(a.to_numpy(), b.to_numpy()))
 

@@ -88,24 +88,22 @@ def topk(df: DataFrame, axes: str, k: int, axis: str) -> DataFrame:
     return ranked.where(F.col("__r") <= abs(k)).withColumn(axis, (F.col("__r") - 1).cast("int")).select(*axes, "v")
 
 
-def reduction(df: DataFrame, axes: str, chunk: Callable[[pd.Series], float], aggregate: Callable[[pd.Series], float], axis: str, parts: int = 64) -> DataFrame:
-    """A user reduction in two phases: ``chunk`` over parts of the axes, ``aggregate`` over the parts' values."""
+def reduction(df: DataFrame, axes: str, chunk: Callable[[pd.Series], float], aggregate: Callable[[pd.Series], float], axis: str) -> DataFrame:
+    """A user reduction in two phases: ``chunk`` within batches before the shuffle, ``aggregate`` over the batches' values."""
     rest = [a for a in axes if a not in axis]
-    part = F.pmod(F.xxhash64(*axis), F.lit(parts)).alias("__part")
 
-    def per_part(it: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        out = it.iloc[:1][[*rest]].copy()
-        out["v"] = float(chunk(it["v"]))
-        return out
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.groupby(rest, sort=False)["v"].agg(lambda s: float(chunk(s))).reset_index() if rest else pd.DataFrame({"v": [float(chunk(pdf["v"]))]})
 
-    def whole(it: pd.DataFrame) -> pd.DataFrame:
-        out = it.iloc[:1][[*rest]].copy()
-        out["v"] = float(aggregate(it["v"]))
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.iloc[:1][[*rest]].copy()
+        out["v"] = float(aggregate(pdf["v"]))
         return out
 
     schema = ", ".join([f"{a} int" for a in rest] + ["v double"])
-    partial = df.select(*axes, "v", part).groupBy(*rest, "__part").applyInPandas(per_part, schema)
-    return _keep(partial.groupBy(*rest).applyInPandas(whole, schema), axes, axis)
+    return _keep(df.select(*axes, "v").mapInPandas(partial, schema).groupBy(*rest).applyInPandas(whole, schema), axes, axis)
 
 
 def total(df: DataFrame, name: str) -> DataFrame:
