@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._memo import WordMemo, padded
 from ._words import LOWER, U64, slabs, span_hash, word_spans
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2500
 BUCKET_BITS = 16
 MIN_DOCS = 3
 #: Words without any weight that every text's mean counts besides its own, so a few words alone say little.
@@ -80,22 +80,38 @@ def _rows_sum(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different words' bytes with their starts and ends, then which of them each word is and which text it is in."""
+    words: dict[int, bytes] = {}
+    keys, rows, at = [], [], 0
+    for part, data, offs in slabs(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])]), "t"):
+        start, end, text = word_spans(data, offs)
+        key = span_hash(data, start, end)
+        raw = data.tobytes()
+        for k, i in zip(*(a.tolist() for a in np.unique(key, return_index=True))):
+            if k not in words:
+                words[k] = raw[start[i] : end[i]]
+        keys.append(key)
+        rows.append(text + at)
+        at += part.num_rows
+    names, which = np.unique(np.concatenate(keys), return_inverse=True)
+    spelled = [words[k] for k in names.tolist()]
+    end = np.cumsum([len(b) for b in spelled])
+    return np.frombuffer(b"".join(spelled), np.uint8), end - [len(b) for b in spelled], end, which, np.concatenate(rows)
+
+
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 140, rate: float = 0.15, seed: int = 7) -> ToxicityModel:
     """Full-batch Adam on the weighted cross entropy; both classes weigh the same."""
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    offs = np.cumsum([0] + [len(r) for r in raw])
-    start, end, text = word_spans(data, offs)
-    _, first, which = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
-    words, docs = len(first), len(texts)
+    data, start, end, which, text = _bags(texts)
+    words, docs = len(start), len(texts)
     size = np.bincount(text, minlength=docs) + NEUTRAL
     pair, times = np.unique(text * words + which, return_counts=True)
     d, w = pair // words, pair % words
     common = np.bincount(w, minlength=words) >= MIN_DOCS
     keep, name = common[w], np.cumsum(common) - 1
-    d, w, times, first = d[keep], name[w[keep]], times[keep], first[common]
-    words = len(first)
-    bucket, owner = grams(data, start[first], end[first])
+    d, w, times = d[keep], name[w[keep]], times[keep]
+    bucket, owner = grams(data, start[common], end[common])
+    words = int(common.sum())
     f = np.float32
     weight = (np.minimum(times, np.maximum(1, MOST_SHARE * size[d])) / size[d]).astype(f)[:, None]
     back = np.argsort(w, kind="stable")
@@ -197,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on about ``sample_rows`` labelled documents per class; None where a class is missing.
 
     The sample is drawn from the labels, which are small, so one scan of the texts finds it by a broadcast
-    of at most four times ``sample_rows`` ids. Only the sample reaches the driver.
+    of at most four times ``sample_rows`` ids. One task holds the sample; only the model reaches the driver.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -205,11 +221,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("y") == 0, min(1.0, sample_rows / max(sizes.get(0, 1), 1))).otherwise(min(1.0, sample_rows / max(sizes.get(1, 1), 1)))
     taken = F.broadcast(marks.where(spot < share).distinct().limit(4 * sample_rows))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    found = rows.join(taken, "i").select("t", "y").toArrow()
-    labels_found = found["y"].to_numpy()
-    if len(set(labels_found.tolist())) < 2:
+    found = rows.join(taken, "i").select("t", "y").repartition(1).mapInArrow(_fit_task, "vectors binary, softmax binary, bias binary").first()
+    if found is None:
         return None
-    return fit(found["t"].to_pylist(), labels_found)
+    vectors, softmax, bias = (np.frombuffer(bytes(x), np.float32) for x in found)
+    return ToxicityModel(vectors.reshape(-1, DIM), softmax.reshape(DIM, 2), bias)
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fit on the whole, bounded sample in one task, away from the driver; no row where a class is missing."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+    if len(set(labels)) == 2:
+        order = sorted(range(len(texts)), key=lambda k: (labels[k], texts[k]))  # the shuffle's order must not matter
+        m = fit([texts[k] for k in order], np.array([labels[k] for k in order]))
+        parts = [x.astype(np.float32).tobytes() for x in (m.vectors, m.softmax, m.bias)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["vectors", "softmax", "bias"])
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
