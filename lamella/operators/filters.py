@@ -118,7 +118,7 @@ def gaussian_weights(sigma: float, order: int = 0, truncate: float = 4.0, radius
     q = np.polynomial.Polynomial([1.0])
     for _ in range(order):
         q = q.deriv() + q * np.polynomial.Polynomial([0.0, -1 / sigma**2])
-    return list((g * q(x))[::-1])
+    return [float(w) for w in (g * q(x))[::-1]]
 
 
 def gaussian_filter(df, axes, shape, sigma, order=0, mode="reflect", cval=0.0, truncate=4.0, radius=None, over=None, integral=False):

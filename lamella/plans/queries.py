@@ -294,7 +294,7 @@ l3 AS (SELECT y // 2 AS y, x // 2 AS x, CAST(trunc(sum(v) / CAST(4 AS DOUBLE)) A
 
 def _taps(weights: dict[tuple[int, int], float], agg: str, source: str = "img", value: str = "v") -> str:
     """A query over all taps of every pixel, with reflected edges."""
-    rows = ", ".join(f"({a}, {b}, CAST({w!r} AS DOUBLE))" for (a, b), w in weights.items())
+    rows = ", ".join(f"({a}, {b}, CAST({float(w)!r} AS DOUBLE))" for (a, b), w in weights.items())
     fold = lambda c, n: f"CASE WHEN (({c}) % (2 * {n}) + 2 * {n}) % (2 * {n}) < {n} THEN (({c}) % (2 * {n}) + 2 * {n}) % (2 * {n}) ELSE 2 * {n} - 1 - (({c}) % (2 * {n}) + 2 * {n}) % (2 * {n}) END"
     return f"""SELECT p.y, p.x, {agg} AS v FROM (SELECT a.y, a.x, {fold("a.y + t.dy", "d.ny")} AS sy, {fold("a.x + t.dx", "d.nx")} AS sx, t.w AS w FROM {source} a, dims d, (VALUES {rows}) t(dy, dx, w)) p
 JOIN {source} s ON s.y = p.sy AND s.x = p.sx GROUP BY p.y, p.x"""
