@@ -108,25 +108,25 @@ def lattice(pieces: Pieces, data: np.ndarray, offs: np.ndarray) -> Lattice:
     return Lattice(order, sizes, edges)
 
 
-def forward(lat: Lattice, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log probability per word and language in lattice order, scaled alphas, log scale that each position has)."""
+def forward(lat: Lattice, prob: np.ndarray) -> np.ndarray:
+    """Log probability per word, in the lattice's order, and language; alphas are rescaled every few positions."""
     words, langs, longest = len(lat.sizes), prob.shape[1], len(lat.edges) - 1
     alpha = np.zeros((longest + 1, words, langs))
     alpha[0] = 1
-    scale = np.zeros((words, 1))
-    scales = np.zeros((longest + 1, words))
+    scale = np.zeros((words, langs))
+    ends = np.zeros((words, langs))  # each word's scale where it ends
     for i in range(1, longest + 1):
         a = alpha[i]
         for length, word, piece in lat.edges[i]:
             a[word] += alpha[i - length, word] * prob[piece]
         if i % STEP == 0:
             n = int(np.searchsorted(-lat.sizes, -i, "right"))
-            top = a[:n].max(1, keepdims=True)
+            top = a[:n].copy()
             alpha[max(0, i - MOST_PIECE + 1) : i + 1, :n] /= top
             scale[:n] += np.log(top)
-        scales[i] = scale[:, 0]
-    last = alpha[lat.sizes, np.arange(words)]
-    return np.log(last) + scales[lat.sizes, np.arange(words)][:, None], alpha, scales
+        done = slice(int(np.searchsorted(-lat.sizes, -i, "left")), int(np.searchsorted(-lat.sizes, -i, "right")))
+        ends[done] = scale[done]
+    return np.log(alpha[lat.sizes, np.arange(words)]) + ends
 
 
 def expected_counts(lat: Lattice, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -178,6 +178,8 @@ def fit(samples: dict[str, list[str]], path: str, rounds: int = 3) -> LanguageMo
             c = expected_counts(lat, prob, weight)
             prob = (c + 1e-3) / (c.sum() + 1e-3 * pieces.size)
         counts[:, k] = c
+    if not names:
+        return LanguageModel([], counts, path)
     own = counts / np.maximum(counts.sum(0), 1)
     prob = 0.97 * own + 0.02 * own.mean(1, keepdims=True) + 0.01 / pieces.size
     return LanguageModel(names, prob / prob.sum(0), path)
@@ -206,8 +208,7 @@ def _predict(model: LanguageModel):
                 which = order[at:to]
                 text, offs = padded(data, start[which], end[which], b" ")
                 lat = lattice(pieces, LOWER[text], offs)
-                logp, _, _ = forward(lat, model.prob)
-                out[which[lat.order]] = logp
+                out[which[lat.order]] = forward(lat, model.prob)
                 at = to
             return out
 
