@@ -1 +1 @@
-
+"""Column-level formulas and casts."""

@@ -1 +1 @@
-
+"""Registered queries and the arrays they run on."""

@@ -1 +1 @@
-
+"""Sources and sinks of chunked arrays."""

@@ -1 +1 @@
-
+"""No operator of this library needs streams; layers are batch tables. The package is kept for future sources."""
