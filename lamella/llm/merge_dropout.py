@@ -2,7 +2,7 @@
 
 A text is cut where no piece of the vocabulary can cross (before spaces that follow other characters, around line ends), and each part's
 agenda of candidate merges is worked by rank. Each candidate is skipped with chance ``drop`` by a keyed hash of the part, its variant and
-the candidate's three borders, so equal seeds give equal segmentations on any cluster. A part's variant is one of ``variants``,
+the candidate's three borders, so equal seeds give equal segmentations on any cluster. A line's variant is one of ``variants``,
 drawn by hash of seed, document and place, so one word has up to that many segmentations across a corpus and all are remembered.
 Without dropout the ids are those of the public library.
 
@@ -81,6 +81,17 @@ class PieceCodec:
                 found[0] = MARK + found[0]
         return found
 
+    def lines(self, text: str) -> list[list[str]]:
+        """The parts of every line; line ends aren't among them."""
+        simple = "  " not in text and "\0" not in text
+        out = []
+        for line in text.split("\n"):
+            parts = line.replace(" ", "\0 ").split("\0") if simple else PARTS.findall(line)
+            out.append(parts[1:] if simple and not parts[0] else parts)
+        if text:
+            out[0] = [MARK + out[0][0], *out[0][1:]] if out[0] else [MARK]
+        return out
+
     def encode_parts(self, parts: list[str], variants: np.ndarray, seed: int, drop: float) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every part."""
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -119,29 +130,33 @@ def place_variants(doc: int, n: int, seed: int, variants: int) -> np.ndarray:
 def _run(path: str, seed: int, drop: float, variants: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(path)
-        memo: dict[tuple[str, int], bytes] = {}
+        memos: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        line_end = codec.fallback[10].astype("<u4").tobytes()
         for rows, data, offs in slabs(batches, "t"):
-            docs = rows.column(0).to_pylist()
-            asked = []
-            for k, doc in enumerate(docs):
-                parts = codec.parts(data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace"))
-                asked.append(list(zip(parts, place_variants(doc or 0, len(parts), seed, variants).tolist())))
-            if len(memo) > most:
-                memo.clear()
-            new = list(set().union(*asked) - memo.keys())
-            for at in range(0, len(new), 50_000):
-                some = new[at : at + 50_000]
-                made = codec.encode_parts([p for p, _ in some], np.array([v for _, v in some]), seed, drop)
-                memo.update(zip(some, made))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([b"".join(map(memo.__getitem__, a)) for a in asked], pa.binary())], names=["doc_id", "ids"])
-            for key in new:
-                if len(key[0]) > 64:
-                    del memo[key]
+            asked, by = [], [[] for _ in range(variants)]
+            for k, doc in enumerate(rows.column(0).to_pylist()):
+                lines = codec.lines(data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace"))
+                drawn = place_variants(doc or 0, len(lines), seed, variants).tolist()
+                asked.append((lines, drawn))
+                for line, v in zip(lines, drawn):
+                    by[v].append(line)
+            long = []
+            for v, (memo, used) in enumerate(zip(memos, by)):
+                if len(memo) > most // variants:
+                    memo.clear()
+                new = list(set().union(*used) - memo.keys())
+                if new:
+                    memo.update(zip(new, codec.encode_parts(new, np.full(len(new), v), seed, drop)))
+                long += [(memo, part) for part in new if len(part) > 64]
+            ids = [line_end.join([b"".join(map(memos[v].__getitem__, line)) for line, v in zip(*a)]) for a in asked]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for memo, part in long:
+                del memo[part]
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = 17, drop: float = 0.1, variants: int = 8, most: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = 17, drop: float = 0.1, variants: int = 8, most: int = 600_000) -> DataFrame:
     """(doc_id, ids) for every row, ids as little-endian unsigned 32-bit numbers; ``most`` words are remembered per task."""
     path = model or vocabulary_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
