@@ -74,11 +74,10 @@ def find_cuts(rows: DataFrame, shards: int) -> list[int]:
         for k, low in enumerate(coarse, 1):
             to = int(np.searchsorted(prefix, min(int(prefix[-1]), k * most), "left"))
             opened[low : to + 1] = True
-        opened &= ~single
-        if not opened.any():
+        if not (opened & ~single).any():
             break
         bits = min(64, bits + NEXT_BITS)
-        # Neighbouring items make one range: there are at most as many ranges as cuts.
+        # Neighbouring items make one range, single groups included: there are at most as many ranges as cuts.
         first = np.flatnonzero(opened & ~np.concatenate([[False], opened[:-1]]))
         last = np.flatnonzero(opened & ~np.concatenate([opened[1:], [False]]))
         inside: Column = F.lit(False)
