@@ -432,13 +432,11 @@ t AS (SELECT c AS t FROM o ORDER BY q DESC, c LIMIT 1)"""
 
 
 def _labels() -> None:
+    # The queries label the whole image; the recursive SQL stops at these rows, so the two agree on tables of no more.
     rows = 32
 
-    def mask(spark: SparkSession, sf: str) -> DataFrame:
-        return threshold.above(grid.crop(fx.image(spark, sf), {"y": (0, rows)}), "yx", 140)
-
     def labelled(spark: SparkSession, sf: str, dense: bool = False) -> DataFrame:
-        return labels.label(mask(spark, sf), "yx", (rows, fx.WIDTH), dense)
+        return labels.label(threshold.above(fx.image(spark, sf), "yx", 140), "yx", _shape(spark, sf), dense)
 
     comp = f"""{fx.IMG}, fg AS (SELECT y, x, CAST(y AS BIGINT) * 64 + x AS id FROM img WHERE y < {rows} AND v > 140),
 e AS (SELECT a.id AS a, b.id AS b FROM fg a JOIN fg b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
