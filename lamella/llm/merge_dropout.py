@@ -1,20 +1,20 @@
 """Encoding with a public merge-type piece vocabulary, with seeded merge dropout, and exact decoding.
 
 A text is cut where no piece of the vocabulary can cross (before spaces that follow other characters, around line ends), and each part's
-agenda of candidate merges is worked by rank. Each candidate is skipped with chance ``drop`` by a keyed hash of the part, its variant and
-the candidate's three borders, so equal seeds give equal segmentations on any cluster. A line's variant is one of ``variants``,
-drawn by hash of seed, document and place, so one word has up to that many segmentations across a corpus and all are remembered.
-Without dropout the ids are those of the public library.
+agenda of candidate merges is worked by rank. Each candidate is skipped with chance ``drop`` by a keyed hash of seed, document, the part's
+position in it, the part and the candidate's three borders, so every occurrence of a word draws on its own, and equal seeds give equal
+segmentations on any cluster. Without dropout the ids are those of the public library.
 
 Characters outside the vocabulary become byte pieces, as does U+2581, which stands for a space inside pieces; decoding gives back
 every text byte for byte.
 
-Defined results: a null text is an empty text, whose ids are none. Null ids count as 0 in the draw of variants. Repeated rows get
+Defined results: a null text is an empty text, whose ids are none. Null ids count as 0 in the draws. Repeated rows get
 equal results. No rows: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,8 +92,8 @@ class PieceCodec:
             out[0] = [MARK + out[0][0], *out[0][1:]] if out[0] else [MARK]
         return out
 
-    def encode_parts(self, parts: list[str], variants: np.ndarray, seed: int, drop: float) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every part."""
+    def encode_parts(self, parts: list[str], places: np.ndarray, seed: int, drop: float) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every part; equal parts at different ``places`` draw on their own."""
         sizes = np.array([len(p) for p in parts], np.int64)
         points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
         symbols = self.plain[points]
@@ -111,7 +111,7 @@ class PieceCodec:
         keys = None
         if drop > 0:
             keys = np.array([xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), seed) for p in parts], U64)
-            keys = mix(keys ^ mix(variants.astype(U64) + U64(1)))
+            keys = mix(keys ^ mix(places.astype(U64) + U64(1)))
         ids, cut = merge_all(symbols, np.concatenate([[0], np.cumsum(sizes)]), self.merges, keys, drop)
         coded, cut = ids.astype("<u4").tobytes(), (4 * cut).tolist()
         return [coded[a:b] for a, b in zip(cut, cut[1:])]
@@ -121,46 +121,41 @@ class PieceCodec:
         return b"".join([table[i] for i in ids.tolist()])[1:]
 
 
-def place_variants(doc: int, n: int, seed: int, variants: int) -> np.ndarray:
-    """The variant of each of a document's ``n`` parts."""
+def places(doc: int, n: int, seed: int) -> np.ndarray:
+    """A number for each of the positions of a document's ``n`` parts."""
     start = U64((doc * 0x9E3779B97F4A7C15 + seed * 0xC2B2AE3D27D4EB4F) % 2**64)
-    return (mix(np.arange(n, dtype=U64) + start) % U64(variants)).astype(np.int64)
+    return mix(np.arange(n, dtype=U64) + start)
 
 
-def _run(path: str, seed: int, drop: float, variants: int, most: int):
+def _run(path: str, seed: int, drop: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(path)
-        memos: list[dict[str, bytes]] = [{} for _ in range(variants)]
         line_end = codec.fallback[10].astype("<u4").tobytes()
-        for rows, data, offs in slabs(batches, "t"):
-            asked, by = [], [[] for _ in range(variants)]
+        for rows, data, offs in slabs(batches, "t", 1 << 20):
+            texts, parts, at = [], [], [np.zeros(0, U64)]
             for k, doc in enumerate(rows.column(0).to_pylist()):
                 lines = codec.lines(data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace"))
-                drawn = place_variants(doc or 0, len(lines), seed, variants).tolist()
-                asked.append((lines, drawn))
-                for line, v in zip(lines, drawn):
-                    by[v].append(line)
-            long = []
-            for v, (memo, used) in enumerate(zip(memos, by)):
-                if len(memo) > most // variants:
-                    memo.clear()
-                new = list(set().union(*used) - memo.keys())
-                if new:
-                    memo.update(zip(new, codec.encode_parts(new, np.full(len(new), v), seed, drop)))
-                long += [(memo, part) for part in new if len(part) > 64]
-            ids = [line_end.join([b"".join(map(memos[v].__getitem__, line)) for line, v in zip(*a)]) for a in asked]
+                texts.append([len(line) for line in lines])
+                for line in lines:
+                    parts += line
+                at.append(places(doc or 0, sum(texts[-1]), seed))
+            if drop > 0:
+                coded = iter(codec.encode_parts(parts, np.concatenate(at), seed, drop) if parts else [])
+            else:
+                different = list(set(parts))
+                known = dict(zip(different, codec.encode_parts(different, np.zeros(len(different)), seed, 0) if different else []))
+                coded = map(known.__getitem__, parts)
+            ids = [line_end.join([b"".join(itertools.islice(coded, n)) for n in sizes]) for sizes in texts]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-            for memo, part in long:
-                del memo[part]
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = 17, drop: float = 0.1, variants: int = 8, most: int = 600_000) -> DataFrame:
-    """(doc_id, ids) for every row, ids as little-endian unsigned 32-bit numbers; ``most`` words are remembered per task."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, seed: int = 17, drop: float = 0.1) -> DataFrame:
+    """(doc_id, ids) for every row, ids as little-endian unsigned 32-bit numbers."""
     path = model or vocabulary_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(_run(path, seed, drop, variants, most), "doc_id long, ids binary")
+    return rows.mapInArrow(_run(path, seed, drop), "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None, carry: list[str] | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Corpus operators do the whole job, however small their tables in memory are."""
 
+import numpy as np
 import pytest
 
-from lamella.llm import attention_lm
+from lamella.llm import attention_lm, merge_dropout
 
 SCHEMA = "doc_id long, text string"
 
@@ -21,3 +22,17 @@ def test_pairs_beyond_the_broadcast_table_keep_their_shares(spark, monkeypatch,
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-4)
+
+
+def test_every_occurrence_of_a_word_draws_its_own_dropout(spark):
+    word = " international"
+    docs = spark.createDataFrame([(1, word * 400), (2, word * 400), (1, word * 400)], SCHEMA)
+    codec = merge_dropout.PieceCodec(merge_dropout.vocabulary_path("piece_bpe_32k.model"))
+    rows = merge_dropout.encode(docs, drop=0.3).collect()
+    seen = []
+    for r in rows:
+        ends = np.cumsum([len(codec.bytes[i]) for i in np.frombuffer(r.ids, "<u4")]) - 1
+        inner = [tuple(e % len(word) for e in ends[(ends > k * len(word)) & (ends < (k + 1) * len(word))]) for k in range(1, 400)]
+        assert len(set(inner)) > 30  # segmentations of one word inside a line
+        seen.append((r.doc_id, r.ids))
+    assert len(set(seen)) == 2  # equal rows alike, documents apart
