@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ufuncs import UFUNCS
-from ..operators import filters, grid, labels, local_stats, neighbourhood, reduce, scan, threshold
+from ..operators import filters, labels, local_stats, neighbourhood, reduce, scan, threshold
 from ..operators.multiscale import KERNELS
 from ..pyramid import Pyramid, PyramidCollection
 from . import fixtures as fx
@@ -158,8 +158,8 @@ def _reductions() -> None:
     for name, e in _REDUCE_REAL_SQL.items():
         QUERIES[f"reduce_{name}"] = lambda spark, sf, name=name: pyramid(spark, sf).reduce(name, "y", "float64").layer().withColumn("v", micro(F.col("v")))
         SQL[f"reduce_{name}"] = f"WITH {fx.IMG} SELECT 0 AS y, x, {sql_micro(e)} AS v FROM img GROUP BY x"
-    # Products of few factors stay exact: 1 or 2 by parity, over eight columns at a time.
-    QUERIES["reduce_prod"] = lambda spark, sf: pyramid(spark, sf).subset({"x": (0, 8)}).ufunc("mod", 2).ufunc("add", 1).reduce("prod", "x").layer()
+    # Products run over all columns: factors of 1 or 2 by parity are exact, others are scaled to about 1. The SQL covers 8 and 4 columns only.
+    QUERIES["reduce_prod"] = lambda spark, sf: pyramid(spark, sf).ufunc("mod", 2).ufunc("add", 1).reduce("prod", "x").layer()
     SQL["reduce_prod"] = f"WITH {fx.IMG} SELECT y, 0 AS x, CAST(product(1 + v % 2) AS BIGINT) AS v FROM img WHERE x < 8 GROUP BY y"
     for name, e in _NANREDUCE_SQL.items():
         def q(spark: SparkSession, sf: str, name=name) -> DataFrame:
@@ -168,7 +168,7 @@ def _reductions() -> None:
 
         QUERIES[f"reduce_{name}"] = q
         SQL[f"reduce_{name}"] = f"WITH {fx.NAN} SELECT y, 0 AS x, {sql_micro(e)} AS v FROM nanimg WHERE NOT isnan(v) GROUP BY y"
-    QUERIES["reduce_nanprod"] = lambda spark, sf: reduce.reduce(grid.crop(fx.nan_image(spark, sf), {"x": (0, 4)}), "yx", "nanprod", "x").withColumn("v", micro(F.col("v") / 1e6))
+    QUERIES["reduce_nanprod"] = lambda spark, sf: reduce.reduce(fx.nan_image(spark, sf).withColumn("v", F.col("v") / 127), "yx", "nanprod", "x").withColumn("v", micro(F.col("v")))
     SQL["reduce_nanprod"] = f"WITH {fx.NAN} SELECT y, 0 AS x, {sql_micro('coalesce(product(v) FILTER (WHERE NOT isnan(v)), 1) / 1e6')} AS v FROM nanimg WHERE x < 4 GROUP BY y"
     for name, f in (("nanargmax", "DESC"), ("nanargmin", "ASC")):
         QUERIES[f"reduce_{name}"] = lambda spark, sf, name=name: reduce.arg_reduce(fx.nan_image(spark, sf), "yx", name, "x")
@@ -233,11 +233,9 @@ l3 AS (SELECT y // 2 AS y, x // 2 AS x, CAST(trunc(sum(v) / CAST(4 AS DOUBLE)) A
     ragged = {"mean": "CAST(trunc(sum(v) / CAST(9 AS DOUBLE)) AS BIGINT)", "min": "CASE WHEN count(*) = 9 THEN min(v) ELSE least(min(v), 0) END", "max": "CASE WHEN count(*) = 9 THEN max(v) ELSE greatest(max(v), 0) END", "median": "CAST(trunc(median(v)) AS BIGINT)", "softmax": "CASE WHEN count(*) = 9 AND min(v) > 0 THEN min(v) ELSE greatest(max(v), 0) END"}
     for name in KERNELS:
         def q(spark: SparkSession, sf: str, name=name) -> DataFrame:
-            p = pyramid(spark, sf)
-            # The median's padding would need all elements in SQL; 63 columns and whole rows of blocks have none.
-            p = p.subset({"y": (0, 99), "x": (0, 63)}) if name == "median" else p
-            return p.rescale(2, (3, 3), name).layer("1")
+            return pyramid(spark, sf).rescale(2, (3, 3), name).layer("1")
 
+        # The median's SQL leaves the padded blocks at the edges out, and all rows from 99 on.
         where = "WHERE y < 99 AND x < 63" if name == "median" else ""
         QUERIES[f"downscale_{name}"] = q
         SQL[f"downscale_{name}"] = f"WITH {fx.IMG} SELECT CAST(y // 3 AS INT) AS y, CAST(x // 3 AS INT) AS x, {ragged[name]} AS v FROM img {where} GROUP BY y // 3, x // 3"
@@ -248,13 +246,17 @@ l3 AS (SELECT y // 2 AS y, x // 2 AS x, CAST(trunc(sum(v) / CAST(4 AS DOUBLE)) A
 
     QUERIES["combine_concatenate"] = lambda spark, sf: PyramidCollection(parts(spark, sf)).concatenate("y").layer()
     SQL["combine_concatenate"] = f"WITH {fx.IMG} SELECT y, x, v FROM img"
-    QUERIES["combine_collection"] = lambda spark, sf: PyramidCollection(parts(spark, sf)[:2]).frame()
+    QUERIES["combine_collection"] = lambda spark, sf: PyramidCollection(parts(spark, sf)).frame()
     SQL["combine_collection"] = f"WITH {fx.IMG} SELECT CAST(y // 200 AS INT) AS img, '0' AS layer, CAST(y % 200 AS INT) AS y, x, v FROM img WHERE y < 400"
 
+    # Stacks and mosaics take the whole image and its mirror image; their SQL, like the collection's, has only the rows before 400.
+    def both(spark: SparkSession, sf: str) -> list[tuple[DataFrame, tuple[int, int]]]:
+        return [(f(spark, sf), _shape(spark, sf)) for f in (fx.image, fx.mirrored)]
+
     def stacked(spark: SparkSession, sf: str) -> DataFrame:
         from ..operators.combine import stack
 
-        return stack([(p.layer(), p.meta.layers["0"].shape) for p in parts(spark, sf)[:2]], "yx", "z")[0]
+        return stack(both(spark, sf), "yx", "z")[0]
 
     QUERIES["combine_stack"] = stacked
     SQL["combine_stack"] = f"WITH {fx.IMG} SELECT CAST(y // 200 AS INT) AS z, CAST(y % 200 AS INT) AS y, x, v FROM img WHERE y < 400"
@@ -262,7 +264,7 @@ l3 AS (SELECT y // 2 AS y, x // 2 AS x, CAST(trunc(sum(v) / CAST(4 AS DOUBLE)) A
     def mosaic(spark: SparkSession, sf: str) -> DataFrame:
         from ..operators import combine
 
-        one = [(p.layer(), p.meta.layers["0"].shape) for p in parts(spark, sf)[:2]]
+        one = both(spark, sf)
         return combine.mosaic({(0, 0): one[0], (0, 1): one[1], (1, 0): one[1], (1, 1): one[0]}, "yx")[0]
 
     QUERIES["combine_mosaic"] = mosaic
@@ -275,7 +277,7 @@ l3 AS (SELECT y // 2 AS y, x // 2 AS x, CAST(trunc(sum(v) / CAST(4 AS DOUBLE)) A
 
     QUERIES["combine_sum"] = summed
     SQL["combine_sum"] = f"WITH {fx.IMG2} SELECT a.y, a.x, a.v + b.v AS v FROM img a JOIN img2 b USING (y, x)"
-    QUERIES["create_pad"] = lambda spark, sf: pyramid(spark, sf).subset({"y": (0, 20)}).pad({"y": (2, 1), "x": (0, 3)}, 9).layer()
+    QUERIES["create_pad"] = lambda spark, sf: pyramid(spark, sf).pad({"y": (2, 1), "x": (0, 3)}, 9).layer()
     SQL["create_pad"] = f"WITH {fx.IMG}, g AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(0, 23) a(y), range(0, 67) b(x)) SELECT g.y, g.x, coalesce(v, 9) AS v FROM g LEFT JOIN (SELECT y + 2 AS y, x, v FROM img WHERE y < 20) p ON p.y = g.y AND p.x = g.x"
     cells = "SELECT CAST(l AS VARCHAR) AS layer, CAST(z AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {e} AS v FROM range(0, 2) l(l), range(0, 3) z(z), range(0, 21) y(y), range(0, 30) x(x) WHERE l = 0 OR (y < 10 AND x < 15)"
     for name, e in (("zeros", "CAST(0 AS BIGINT)"), ("ones", "CAST(1 AS BIGINT)")):

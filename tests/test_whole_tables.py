@@ -12,7 +12,7 @@ TALL, WIDTH = 70, 64
 
 
 def table(folder, rows):
-    e = np.random.default_rng(2).normal(size=(TALL, WIDTH)).astype(np.float32)[:rows]
+    e = np.random.default_rng(2).normal(size=(max(rows, TALL), WIDTH)).astype(np.float32)[:rows]
     e /= np.linalg.norm(e, axis=1, keepdims=True)
     t = pa.table({"vec_id": pa.array(np.arange(rows)), "embedding": pa.array(list(e), pa.list_(pa.float32()))})
     pq.write_table(t, f"{folder}/embeddings.parquet")
@@ -70,3 +70,23 @@ def test_labels_cover_the_whole_image(spark, tmp_path):
 def test_labels_equal_the_sql_where_it_covers_the_table(spark, tmp_path, name):
     folder, _ = table(tmp_path, 32)
     assert rows_of(arrays.QUERIES[name](spark, folder)) == sql_rows(folder, name)
+
+
+def test_products_medians_and_combinations_cover_the_whole_table(spark, tmp_path):
+    n = 430
+    folder, v = table(tmp_path, n)
+    run = lambda name: rows_of(arrays.QUERIES[name](spark, folder))
+    cells = lambda a: sorted((*at, x) for at, x in np.ndenumerate(a))
+    m = v[::-1]
+    assert run("reduce_prod") == [(y, 0, int(np.prod(1 + v[y] % 2, dtype=float))) for y in range(n)]
+    got = run("reduce_nanprod")
+    assert [r[:2] for r in got] == [(y, 0) for y in range(n)]
+    np.testing.assert_allclose([r[2] for r in got], np.where(v % 11 == 0, 1, v / 127).prod(1) * 1e6, atol=1)
+    padded = np.pad(v, ((0, -n % 3), (0, -WIDTH % 3)))
+    blocks = padded.reshape(padded.shape[0] // 3, 3, padded.shape[1] // 3, 3).transpose(0, 2, 1, 3).reshape(padded.shape[0] // 3, -1, 9)
+    assert run("downscale_median") == cells(np.trunc(np.median(blocks, axis=2)).astype(int))
+    assert run("combine_stack") == cells(np.stack([v, m]))
+    assert run("combine_mosaic") == cells(np.block([[v, m], [m, v]]))
+    assert run("create_pad") == cells(np.pad(v, ((2, 1), (0, 3)), constant_values=9))
+    collection = arrays.QUERIES["combine_collection"](spark, folder).select("img", "layer", "y", "x", "v")
+    assert rows_of(collection) == sorted((y // 200, "0", y % 200, x, v[y, x]) for y in range(n) for x in range(WIDTH))
