@@ -289,21 +289,101 @@ def test_toxicity(spark, docs):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
-def test_attention_gradient_and_probabilities():
+def small_model(rng, texts, vocabulary=60):
+    count = np.bincount(np.concatenate(texts), minlength=vocabulary).astype(float)
+    k = attention_lm.NEIGHBOURS
+    tokens = attention_lm.Tokens.of(count)
+    table = np.zeros((k + 2, k + 1))
+    for t in texts:
+        r = tokens.row[t]
+        np.add.at(table, (np.concatenate([[k + 1], r[:-1]]), r), 1)
+    return attention_lm.start(tokens, table)
+
+
+def slow_log_probability(model, ids):
+    """The score of one text, token by token, from the definition."""
+    w, emit, begin, block, dim = model.weights, model.emit().astype(float), model.tokens.rows - 1, attention_lm.BLOCK, attention_lm.DIM
+    seen = [begin, *(int(model.tokens.row[t]) for t in ids)]
+    total = 0.0
+    for i, t in enumerate(ids):
+        first = max(0, (i // block - 1) * block)
+        e = w["e"][seen[first : i + 1]].astype(float)
+        s = (e @ w["k"]) @ (e[-1] @ w["q"]) / np.sqrt(dim) + w["n"][np.arange(len(e))[::-1]]
+        a = np.exp(s - s.max())
+        h = (a / a.sum()) @ (e @ w["v"])
+        z = h @ w["o"] + w["b"][seen[i]]
+        p = np.exp(z - z.max())
+        total += np.log((p / p.sum()) @ emit[t])
+    return total
+
+
+def test_attention_scores_learn_and_equal_their_definition():
     rng = np.random.default_rng(0)
-    texts = [(np.arange(n) * 7 + rng.integers(0, 50)) % 50 for n in (1, 5, 8, 40, 100)]
-    classes = attention_lm.make_classes(texts, 60)
-    within = attention_lm.within_classes(np.ones(60), classes)
-    bias = attention_lm.bias_table(np.zeros((classes.rows, attention_lm.CLASSES)), classes)
-    model = attention_lm.fit_attention(texts, classes, within, bias, rounds=30)
-    flat = attention_lm.fit_attention(texts, classes, within, bias, rounds=0)
-    assert attention_lm.log_probabilities(model, texts).sum() > attention_lm.log_probabilities(flat, texts).sum() + 20
-    whole = attention_lm.log_probabilities(model, texts)
-    np.testing.assert_allclose(whole, [attention_lm.log_probabilities(model, [t], at_once=2)[0] for t in texts], rtol=1e-4)
-    prefix = attention_lm.log_probabilities(model, [np.append(texts[3][:-1], k) for k in range(60)]) - attention_lm.log_probabilities(model, [texts[3][:-1]])[0]
+    texts = [(np.arange(n) // 3 * 7 + rng.integers(0, 9)) % 50 for n in (1, 5, 8, 40, 100, 400, 700)]
+    model = small_model(rng, texts)
+    trainer = attention_lm.Trainer(model, 60 * 1254, 50, rate=0.02, run=8)
+    for _ in range(60):
+        trainer.learn(texts)
+    model = attention_lm.merge(model, 50, [(1.0, trainer.w)], trainer.counts - trainer.base)
+    scorer = attention_lm.Scorer(model)
+    got = scorer.log_probabilities(texts)
+    np.testing.assert_allclose(got, [slow_log_probability(model, t) for t in texts], rtol=1e-3)
+    np.testing.assert_allclose(got, [scorer.log_probabilities([t], at_once=2)[0] for t in texts], rtol=1e-4)
+    bare = attention_lm.Scorer(model, attention=False).log_probabilities(texts)
+    print("with and without attention:", got.sum(), bare.sum())
+    assert got.sum() > bare.sum() + 100  # the pattern spans three tokens, which only attention sees
+    prefix = scorer.log_probabilities([np.append(texts[3][:-1], k) for k in range(60)]) - scorer.log_probabilities([texts[3][:-1]])[0]
     assert abs(np.exp(prefix).sum() - 1) < 1e-3  # the next token's probabilities sum to 1
 
 
+def test_attention_gradients():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50, 24)]
+    model = small_model(rng, texts)
+    loss = lambda m: -attention_lm.Scorer(m).log_probabilities(texts)[0] / 24
+    for name, at in (("o", (2, 3)), ("q", (1, 4)), ("k", (5, 0)), ("v", (3, 3)), ("n", (2,)), ("e", (int(model.tokens.row[texts[0][5]]), 7)), ("b", (int(model.tokens.row[texts[0][9]]), 11))):
+        sides = []
+        for sign in (1, -1):
+            moved = {k: v.copy() for k, v in model.weights.items()}
+            moved[name][at] += np.float32(sign * 0.03)
+            sides.append(loss(attention_lm.AttentionModel(model.tokens, moved, model.counts)))
+        slope = (sides[0] - sides[1]) / 0.06
+        trainer = attention_lm.Trainer(model, 24, 1, rate=1e-3)
+        trainer.learn(texts)
+        assert abs(slope) < 2e-5 or np.sign(trainer.w[name][at] - model.weights[name][at]) == -np.sign(slope), name
+
+
+def test_trainers_add_up():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 50, 30) for _ in range(4)]
+    model = small_model(rng, texts)
+    parts = []
+    for k in range(4):
+        t = attention_lm.Trainer(model, 30, 5)
+        t.learn([texts[k]])
+        parts.append(t)
+    table = None
+    import pyarrow as pa
+
+    for key in (-1, 0):
+        rows = []
+        for k, t in enumerate(parts):
+            more = t.counts - t.base
+            at = np.flatnonzero(more.any(1)).astype("<i4")
+            rows.append((key, k, float(t.seen), at.tobytes() if key == 0 else b"", more[at].astype("<f4").tobytes() if key == 0 else (attention_lm._pack(t.w) * t.seen).tobytes()))
+        table = pa.table({n: pa.array(c, y) for n, c, y in zip(("key", "task", "n", "at", "data"), zip(*rows), (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()))})
+        row = attention_lm._add_parts(table).to_pylist()[0]
+        assert row["n"] == 120
+        if key:
+            mean = attention_lm._unpack(np.frombuffer(row["data"], "<f8") / 120, model.weights)
+            np.testing.assert_allclose(mean["o"], np.mean([t.w["o"] for t in parts], axis=0), rtol=1e-4)
+        else:
+            got = np.zeros_like(model.counts)
+            got[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["data"], "<f4").reshape(-1, attention_lm.STATES)
+            np.testing.assert_allclose(got, sum(t.counts - t.base for t in parts), atol=1e-5)
+            assert abs(got.sum() - 120) < 1e-2  # every training token is counted once
+
+
 def test_attention_base_scores(docs, empty):
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     got = attention_lm.score_documents(docs, crc).collect()

@@ -8,20 +8,28 @@ from lamella.llm import attention_lm, merge_dropout
 SCHEMA = "doc_id long, text string"
 
 
-def scores(docs):
-    return {r.doc_id: r.score for r in attention_lm.score_documents(docs, docs.doc_id % 5 != 1).collect()}
-
-
-@pytest.mark.parametrize("kept", [0, 20])
-def test_pairs_beyond_the_broadcast_table_keep_their_shares(spark, monkeypatch, kept):
+def test_frequent_words_reach_the_driver_and_all_others_are_joined(spark, monkeypatch):
     words = "the cat sat on a mat and saw that other dog run far into some deep wood".split()
     docs = spark.createDataFrame([(k, " ".join(words[(k * j + j * j) % len(words)] for j in range(40))) for k in range(60)], SCHEMA)
-    want = scores(docs)
-    monkeypatch.setattr(attention_lm, "PAIRS", kept)
-    got = scores(docs)
-    assert got.keys() == want.keys()
-    for k in want:
-        assert got[k] == pytest.approx(want[k], rel=1e-4)
+    base = lambda: {r.doc_id: (r.base_score, r.n_known) for r in attention_lm.score_documents(docs, docs.doc_id % 5 != 1).collect()}
+    want = base()
+    for head in (0, 5):
+        monkeypatch.setattr(attention_lm, "HEAD", head)
+        got = base()
+        assert all(got[k] == (pytest.approx(want[k][0], rel=1e-9), want[k][1]) for k in want) and got.keys() == want.keys()
+
+
+def test_attention_beats_the_base_score_on_held_out_documents(spark):
+    from lamella.llm import registry
+
+    got = registry.op8_attention_lm(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum()
+
+
+def test_least_count_of_the_most_frequent(spark):
+    counts = spark.createDataFrame([(k, c) for k, c in enumerate([1] * 50 + [2] * 7 + [5000, 5100, 9000, 10**12])], "key long, c long")
+    for most, kept in ((0, 0), (3, 2), (4, 4), (10, 4), (11, 11), (61, 61)):
+        assert counts.where(counts.c >= attention_lm._bar(counts, most)).count() == kept, most
 
 
 def test_every_occurrence_of_a_word_draws_its_own_dropout(spark):
