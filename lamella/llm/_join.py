@@ -1,27 +1,38 @@
-"""Equi-joins that keep hot keys out of the shuffle."""
+"""Equi-joins that keep hot keys out of the shuffle, and rows under keys of their own."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
+
 HOT_SHARE = 1024
 
 
-def left_join_by_weight(rows: DataFrame, classes: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+def left_join_by_weight(rows: DataFrame, classes: DataFrame, keys: list[str], weight: str, total: int, place: Callable[[DataFrame], DataFrame] = lambda side: side) -> DataFrame:
     """``rows`` left-joined with ``classes``, of which there is at most one per key.
 
     ``weight`` counts the rows of a class. Classes with more than one row in 1024 of all ``total`` rows are
     at most 1024 by counting, whatever the data; they are broadcast, and their rows never meet in a shuffle.
-    All others go through an ordinary join, where no key has more than that share.
+    All others go through an ordinary join, where no key has more than that share; ``place`` partitions both sides of it.
     """
     bar = max(1, total // HOT_SHARE)
     hot = F.broadcast(classes.where(F.col(weight) > bar))
     cold = classes.where(F.col(weight) <= bar)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, "left"))
+    return rows.join(hot, keys).unionByName(place(rows.join(hot.select(*keys), keys, "left_anti")).join(place(cold), keys, "left"))
+
+
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for every row, written so that it stays the same, and that column's name."""
+    row = "row"
+    while row in (c.lower() for c in docs.columns):
+        row += "_"
+    return Scratch(docs.sparkSession, name).write(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def keep_rows(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``dropped`` (one column); rows without an id stay."""
-    gone = dropped.select(F.col(dropped.columns[0]).alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+def keep_rows(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose key isn't in ``dropped`` (one column)."""
+    return docs.join(dropped.toDF(key), key, "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ from lamella.llm import attention_lm, cover_tree, language_id, merge_dropout, mi
 from lamella.llm._graph import components
 from lamella.llm._scratch import Scratch
 from lamella.llm._vocab import WordEncoder, vocabulary_path
-from lamella.llm.exact_dedup import build_directory, drop_copies, exact_groups
+from lamella.llm.exact_dedup import build_directory, drop_copies, exact_groups, index, share_out
 
 WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 SF = "/root/testdata/sf0.001"
@@ -59,6 +59,36 @@ def test_directory():
         assert all(directory[k] == directory[p << (depth - d)] for k in range(p << (depth - d), (p + 1) << (depth - d)))
 
 
+def test_index_owners(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 700}") for k in range(900)], "doc_id long, text string")
+    postings, directory, entries, owners, total = index(docs, capacity=40)
+    slots = {r.slot: (r.bucket, r.owner) for r in directory.collect()}
+    size = Counter(r.bucket for r in entries.collect())
+    assert total == 900 and sum(size.values()) == 700 and max(size.values()) <= 40 and 1 < owners <= len(size)
+    assert sorted(slots) == list(range(len(slots))) and [slots[k] for k in sorted(slots)] == sorted(slots.values())  # key ranges
+    depth = len(slots).bit_length() - 1
+    files = {}
+    for r in entries.select("*", F.input_file_name().alias("file")).collect():
+        assert slots[(r.h % 2**64) >> (64 - depth)] == (r.bucket, r.owner)
+        files.setdefault(r.bucket, set()).add(r.file)
+    assert all(len(f) == 1 for f in files.values()) and len(set().union(*files.values())) == owners  # one file set per owner
+    assert all(slots[(r.h % 2**64) >> (64 - depth)] == (r.bucket, r.owner) for r in postings.collect())
+    plan = exact_groups(docs, capacity=40)._jdf.queryExecution().toString()
+    assert "direct_shuffle_partition_id(owner" in plan
+
+
+def test_share_out():
+    assert share_out([1] * 8, 4) == [0, 0, 1, 1, 2, 2, 3, 3] and share_out([0, 0], 2) == [0, 0] and share_out([5, 1, 1, 1], 2) == [0, 1, 1, 1]
+
+
+def test_drop_copies(docs, empty):
+    got = drop_copies(docs)
+    assert got.columns == docs.columns and drop_copies(empty).count() == 0
+    kept = Counter(norm(r.text) for r in got.collect())
+    assert kept == Counter({norm(t): 1 for _, t in ROWS})  # one row of each group, ids null or repeated
+    assert {r.doc_id for r in got.collect() if norm(r.text) == "abcdef"} == {2} and {r.doc_id for r in got.collect() if norm(r.text) == "lone"} == {None}
+
+
 def sets(width):
     out = []
     for _, t in ROWS:
