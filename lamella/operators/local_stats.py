@@ -33,10 +33,10 @@ def statistic(df: DataFrame, axes: str, shape: tuple[int, ...], size: tuple[int,
     return local_statistics(df, axes, shape, size).select(*axes, F.col(column).alias("v"))
 
 
-def weighted_midpoint(df, axes, shape, size, most: float, least: float) -> DataFrame:
-    """most * maximum + least * minimum of the box, zeros as they are."""
+def weighted_midpoint(df, axes, shape, size, most: float = 1, least: float = 1) -> DataFrame:
+    """(most * maximum + least * minimum) / (most + least) of the box, zeros as they are."""
     out = box(df.select(*axes, F.col("v").cast("double").alias("v")), axes, shape, size, {"low": ("v", F.min), "high": ("v", F.max)})
-    return out.select(*axes, (F.col("high") * most + F.col("low") * least).alias("v"))
+    return out.select(*axes, ((F.col("high") * most + F.col("low") * least) / (most + least)).alias("v"))
 
 
 def interquartile(df, axes, shape, size, p0: float = 25, p1: float = 75) -> DataFrame:

@@ -5,7 +5,6 @@ The histogram is a group-by of at most ``nbins`` rows; only these rows reach the
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -139,6 +138,7 @@ def _local(name: str, k: float, r: float, p: dict) -> Column:
     n = p["n"]
     d = u - m
     safe = lambda a, b: a / F.when(b == 0, F.lit(1e-300)).otherwise(b)
+    half = k * safe(1 + d * (1 - m), 1 - d * (1 - m))
     formulas = {
         "threshold_niblack": lambda: m - k * s,
         "threshold_sauvola": lambda: m * (1 + k * (s / r - 1)),
@@ -152,23 +152,24 @@ def _local(name: str, k: float, r: float, p: dict) -> Column:
         "nick_v2": lambda: m + k * F.sqrt(F.greatest(m * m + F.col("square") - m * m, F.lit(0.0))),
         "nick_v3": lambda: m + k * F.sqrt(m * m + F.sqrt(s)),
         "contrast": lambda: F.when((u - lo) * k <= (hi - u) * (2 - k), F.col("g_max")).otherwise(F.lit(0.0)),
-        "bataineh": lambda: m - safe(m * m * s, (F.col("g_mean") + s) * (safe(s - F.col("g_smin"), F.col("g_smax") - F.col("g_smin")) + s)),
-        "rais": lambda: m + k * safe(m * F.col("g_std") - F.col("g_mean") * s, F.greatest(m * F.col("g_std"), F.col("g_mean") * s)) * s,
+        "laab": lambda: 1 - safe(F.abs(1 - 2 * half) - (1 - 2 * half), 2 * F.abs(1 - 2 * half)),
+        "bataineh": lambda: m - safe(m * m * s, (F.col("g_mean") + s) * (safe(s - F.col("g_smin"), F.col("g_smax") - F.col("g_smin")) * F.col("g_max") + s)),
+        "rais": lambda: m + p.get("l", -0.3) * safe(F.col("g_mean") * F.col("g_std") - m * s, F.greatest(F.col("g_mean") * F.col("g_std"), m * s)) * s,
         "phansalkar": lambda: m * (1 + p.get("p", 2) * F.exp(-p.get("q", 10) * m) + k * (safe(s, F.col("g_smax")) - 1)),
     }
     return formulas[name]()
 
 
-LOCAL = ("threshold_niblack", "threshold_sauvola", "niblack", "sauvola", "wolf", "singh", "trsingh", "wan", "nick", "nick_v2", "nick_v3", "contrast", "bataineh", "rais", "phansalkar")
+LOCAL = ("threshold_niblack", "threshold_sauvola", "niblack", "sauvola", "wolf", "singh", "trsingh", "wan", "nick", "nick_v2", "nick_v3", "laab", "contrast", "bataineh", "rais", "phansalkar")
+#: What a method takes where k isn't given; all others take 0.6.
+DEFAULT_K = {"niblack": -0.2, "wan": 0.33, "contrast": 1.0}
 
 
-def local_threshold(df: DataFrame, axes: str, shape: tuple[int, ...], method: str, size: int | tuple[int, ...] = 9, k: float = 0.6, r: float | None = None, **params: float) -> DataFrame:
+def local_threshold(df: DataFrame, axes: str, shape: tuple[int, ...], method: str, size: int | tuple[int, ...] = 9, k: float | None = None, r: float | None = None, **params: float) -> DataFrame:
     """Columns of the axes, v, contrast, midpoint and t, the threshold image. Whole-layer statistics are one broadcast row."""
     sizes = (size,) * len(axes) if isinstance(size, int) else tuple(size)
     stats = local_statistics(df, axes, shape, sizes)
-    if method == "laab":
-        b = F.col("u") / F.when(F.col("mean") == 0, F.lit(1e-300)).otherwise(F.col("mean"))
-        return stats.select(*axes, "v", "contrast", "midpoint", (1 - b / (1 + F.abs(b))).alias("t"))
+    k = DEFAULT_K.get(method, 0.6) if k is None else k
     if method in ("wolf", "contrast", "bataineh", "rais", "phansalkar"):
         whole = stats.agg(F.max("std").alias("g_smax"), F.min("std").alias("g_smin"), F.min("u").alias("g_min"), F.max("u").alias("g_max"), F.avg("u").alias("g_mean"), F.stddev_pop("u").alias("g_std"))
         stats = stats.crossJoin(F.broadcast(whole))  # one row
@@ -188,13 +189,18 @@ def bernsen(df, axes, shape, threshold: float, size=9, min_contrast: float = 15.
     return above(t, axes, F.when(F.col("contrast") > min_contrast, F.col("midpoint")).otherwise(F.lit(float(threshold))))
 
 
-def hybrid_bernsen(df, axes, shape, method: str, threshold: float, size=9, k: float = 0.6, min_contrast: float = 15.0, **params) -> DataFrame:
-    """The local threshold, and the global one where the box's contrast is small."""
-    t = feng(df, axes, shape, **params) if method == "feng" else local_threshold(df, axes, shape, method, size=size, k=k, **params)
+def hybrid_bernsen(df, axes, shape, method: str, threshold: float, size=9, k: float | None = None, min_contrast: float = 15.0, **params) -> DataFrame:
+    """The local threshold, and the global one where the box's contrast is small; Feng's has settings of its own here."""
+    if method == "phansalkar":
+        k, params = 0.05 if k is None else k, {"p": 10, "q": 30} | params
+    t = feng(df, axes, shape, **(BERNSEN_FENG | params)) if method == "feng" else local_threshold(df, axes, shape, method, size=size, k=k, **params)
     return above(t, axes, F.when(F.col("contrast") < min_contrast, F.lit(float(threshold))).otherwise(F.col("t")))
 
 
-def feng(df, axes, shape, small: int = 5, big: int = 7, alpha: float = 0.12, k1: float = 0.25, k2: float = 0.04, gamma: float = 2.0) -> DataFrame:
+BERNSEN_FENG = {"small": 3, "big": 5, "alpha": 0.12, "k1": 0.25, "k2": 0.04}
+
+
+def feng(df, axes, shape, small: int = 5, big: int = 7, alpha: float = 0.18, k1: float = 0.66, k2: float = 0.15, gamma: float = 2.0) -> DataFrame:
     """Two boxes: the ratio of their deviations weighs mean and minimum of the small one."""
     one = local_statistics(df, axes, shape, (small,) * len(axes))
     two = local_statistics(df, axes, shape, (big,) * len(axes)).select(*axes, F.col("std").alias("big_std"))
@@ -203,16 +209,3 @@ def feng(df, axes, shape, small: int = 5, big: int = 7, alpha: float = 0.12, k1:
     a2, a3 = k1 * F.pow(ratio, F.lit(gamma)), k2 * F.pow(ratio, F.lit(gamma))
     t = (1 - alpha) * F.col("mean") + a2 * ratio * (F.col("mean") - F.col("low")) + a3 * F.col("low")
     return both.select(*axes, "v", "contrast", "midpoint", t.alias("t"))
-
-
-def brute_multiotsu(n: np.ndarray, c: np.ndarray, classes: int) -> list[float]:
-    """Every choice of bounds, for tests."""
-    keep = np.flatnonzero(n)
-    n, c = n[keep].astype(float), c[keep]
-    best, found = -1.0, ()
-    for cut in itertools.combinations(range(1, len(n)), classes - 1):
-        edges = [0, *cut, len(n)]
-        value = sum((n[a:b] * c[a:b]).sum() ** 2 / n[a:b].sum() for a, b in zip(edges, edges[1:]))
-        if value > best + 1e-9:
-            best, found = value, cut
-    return [float(c[k - 1]) for k in found]

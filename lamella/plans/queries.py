@@ -382,7 +382,7 @@ def _filters() -> None:
     simple = {"sum": "m * 25", "mean": "m", "variance": "va", "std": "s", "contrast": "hi - lo", "midpoint": "(hi + lo) / CAST(2 AS DOUBLE)", "minimum": "lo", "maximum": "hi"}
     for name, e in simple.items():
         reg(f"local_{name}", lambda d, s, name=name: local_stats.statistic(d, "yx", s, (5, 5), name), f"WITH {fx.IMG}, {stats} SELECT y, x, {sql_micro(e)} AS v FROM st")
-    reg("local_weighted_midpoint", lambda d, s: local_stats.weighted_midpoint(d, "yx", s, (5, 5), 0.25, 0.75), f"WITH {fx.IMG}, {stats} SELECT y, x, {sql_micro('hi * 0.25 + lo * 0.75')} AS v FROM st")
+    reg("local_weighted_midpoint", lambda d, s: local_stats.weighted_midpoint(d, "yx", s, (5, 5), 1, 2), f"WITH {fx.IMG}, {stats} SELECT y, x, {sql_micro('(hi * 1 + lo * 2) / CAST(3 AS DOUBLE)')} AS v FROM st")
     reg("local_interquartile", lambda d, s: local_stats.interquartile(d, "yx", s, (3, 3)), f"WITH {fx.IMG}, f AS ({_taps(_box(3), 'list_sort(list(s.v))[7] - list_sort(list(s.v))[3]')}) SELECT y, x, {sql_micro('v')} AS v FROM f")
     for name, k in (("skewness", 1), ("pearson_skewness", 3)):
         reg(f"local_{name}", lambda d, s, k=k: local_stats.skewness(d, "yx", s, (5, 5), k == 3),
@@ -396,9 +396,9 @@ def _filters() -> None:
         "wolf": f"(1 - {k}) * m + {k} * (s / CASE WHEN smax * (m - vmin) = 0 THEN 1e-300 ELSE smax * (m - vmin) END) + {k} * vmin", "singh": f"{k} * (m + (hi - lo) * (1 - v))",
         "trsingh": f"m * (1 + {k} * ((v - m) / CASE WHEN 1 - (v - m) = 0 THEN 1e-300 ELSE 1 - (v - m) END - 1))", "wan": f"(hi + m) / 2 * (1 - {k} * (1 - s / r))",
         "nick": f"m + {k} * sqrt(greatest((sq * 25 - m * m) / 25, 0))", "nick_v2": f"m + {k} * sqrt(greatest(m * m + sq - m * m, 0))", "nick_v3": f"m + {k} * sqrt(m * m + sqrt(s))",
-        "contrast": f"CASE WHEN (v - lo) * {k} <= (hi - v) * (2 - {k}) THEN vmax ELSE 0 END", "laab": "1 - (v / m) / (1 + abs(v / m))",
-        "bataineh": "m - m * m * s / ((mu + s) * ((s - smin) / CASE WHEN smax - smin = 0 THEN 1e-300 ELSE smax - smin END + s))",
-        "rais": f"m + {k} * ((m * sd - mu * s) / greatest(m * sd, mu * s)) * s", "phansalkar": f"m * (1 + 2 * exp(-10 * m) + {k} * (s / smax - 1))",
+        "contrast": f"CASE WHEN (v - lo) * {k} <= (hi - v) * (2 - {k}) THEN vmax ELSE 0 END",
+        "bataineh": "m - m * m * s / ((mu + s) * ((s - smin) / CASE WHEN smax - smin = 0 THEN 1e-300 ELSE smax - smin END * vmax + s))",
+        "rais": "m - CAST(0.3 AS DOUBLE) * ((mu * sd - m * s) / greatest(mu * sd, m * s)) * s", "phansalkar": f"m * (1 + 2 * exp(-10 * m) + {k} * (s / smax - 1))",
     }
     for name, e in local.items():
         reg(f"threshold_local_{name.removeprefix('threshold_') if not name.startswith('threshold_') else 'public_' + name.removeprefix('threshold_')}",
@@ -408,8 +408,23 @@ def _filters() -> None:
         reg(f"threshold_{name}_bernsen", lambda d, s, name=name: threshold.hybrid_bernsen(d, "yx", s, name, 127.3, size=5, k=0.3, min_contrast=40),
             f"WITH {fx.IMG}, {stats}, {glob} SELECT y, x, CAST(v > CASE WHEN hi - lo < 40 THEN CAST(127.3 AS DOUBLE) ELSE {local[name]} END AS BIGINT) AS v FROM st, g", False)
     reg("threshold_bernsen", lambda d, s: threshold.bernsen(d, "yx", s, 127.3, 5, 40), f"WITH {fx.IMG}, {stats} SELECT y, x, CAST(v > CASE WHEN hi - lo > 40 THEN (hi + lo) / CAST(2 AS DOUBLE) ELSE CAST(127.3 AS DOUBLE) END AS BIGINT) AS v FROM st", False)
-    reg("threshold_feng", lambda d, s: threshold.feng(d, "yx", s).select("y", "x", (F.col("v") > F.col("t")).cast("bigint").alias("v")), None, False)
-    reg("threshold_feng_bernsen", lambda d, s: threshold.hybrid_bernsen(d, "yx", s, "feng", 127.3, min_contrast=40), None, False)
+    # LAAB's formula is for values from 0 to 1.
+    reg("threshold_local_laab", lambda d, s: threshold.local_threshold(d.withColumn("v", F.col("v") / 255.0), "yx", s, "laab", size=5, k=0.5).select("y", "x", F.col("t").cast("bigint").alias("v")),
+        f"WITH {fx.IMG}, unit AS (SELECT y, x, v / CAST(255 AS DOUBLE) AS v FROM img), {stats.replace('img', 'unit')}, h AS (SELECT y, x, CAST(0.5 AS DOUBLE) * ((1 + (v - m) * (1 - m)) / (1 - (v - m) * (1 - m))) AS h FROM st) SELECT y, x, CAST(1 - (abs(1 - 2 * h) - (1 - 2 * h)) / (2 * CASE WHEN 1 - 2 * h = 0 THEN 1e-300 ELSE abs(1 - 2 * h) END) AS BIGINT) AS v FROM h", False)
+    for name, small, big, (alpha, k1, k2) in (("feng", 5, 7, (0.18, 0.66, 0.15)), ("feng_bernsen", 3, 5, (0.12, 0.25, 0.04))):
+        boxes = "".join(
+            f", m{n} AS ({_taps(_box(n), 'avg(CAST(s.v AS DOUBLE))')}), d{n} AS (SELECT img.y, img.x, pow(img.v - m{n}.v, 2) AS v FROM img JOIN m{n} USING (y, x)), s{n} AS (SELECT y, x, sqrt(v) AS v FROM ({_taps(_box(n), 'avg(s.v)', f'd{n}')}))"
+            for n in (small, big)
+        )
+        boxes += f", lo AS ({_taps(_box(small), 'min(s.v)')}), hi AS ({_taps(_box(small), 'max(s.v)')})"
+        ratio = "(a.v / CASE WHEN b.v = 0 THEN 1e-300 ELSE b.v END)"
+        t = f"CAST({1 - alpha} AS DOUBLE) * m.v + CAST({k1} AS DOUBLE) * pow({ratio}, 3) * (m.v - lo.v) + CAST({k2} AS DOUBLE) * pow({ratio}, 2) * lo.v"
+        if name == "feng":
+            run = lambda d, s: threshold.feng(d, "yx", s).select("y", "x", (F.col("v") > F.col("t") + 1e-7).cast("bigint").alias("v"))
+        else:
+            run = lambda d, s: threshold.hybrid_bernsen(d, "yx", s, "feng", 127.3, min_contrast=40).select("y", "x", "v")
+            t = f"CASE WHEN hi.v - lo.v < 40 THEN CAST(127.3 AS DOUBLE) ELSE {t} END"
+        reg(f"threshold_{name}", run, f"WITH {fx.IMG}{boxes} SELECT img.y, img.x, CAST(img.v > {t} + CAST({1e-7 if name == 'feng' else 0} AS DOUBLE) AS BIGINT) AS v FROM img JOIN m{small} m USING (y, x) JOIN s{small} a USING (y, x) JOIN s{big} b USING (y, x) JOIN lo USING (y, x) JOIN hi USING (y, x)", False)
 
 
 def _thresholds() -> None:
@@ -426,6 +441,29 @@ t AS (SELECT c AS t FROM o ORDER BY q DESC, c LIMIT 1)"""
     SQL["threshold_manual"] = f"WITH {fx.IMG} SELECT y, x, CAST(v > 140 AS BIGINT) AS v FROM img"
     for name in ("isodata", "yen", "minimum", "multiotsu", "triangle"):
         QUERIES[f"threshold_{name}"] = lambda spark, sf, name=name: pyramid(spark, sf).threshold(name).layer()
+    # All 256 bins, empty ones too; b counts from 0.
+    bins = f"""mm AS (SELECT min(v) AS mn, max(v) AS mx FROM img),
+filled AS (SELECT CAST(least(floor((v - mn) * {d.format(256)} / (mx - mn)), 255) AS INT) AS b, count(*) AS n FROM img, mm GROUP BY 1),
+k AS (SELECT CAST(r.b AS INT) AS b, CAST(coalesce(n, 0) AS DOUBLE) AS n, mn + (r.b + {d.format(0.5)}) * (mx - mn) / {d.format(256)} AS c FROM range(0, 256) r(b) LEFT JOIN filled USING (b) CROSS JOIN mm)"""
+    mask = "SELECT y, x, CAST(v > t AS BIGINT) AS v FROM img, t"
+    SQL["threshold_isodata"] = f"""WITH {fx.IMG}, {bins},
+w AS (SELECT b, c, sum(n) OVER (ORDER BY b) AS w1, sum(n * c) OVER (ORDER BY b) AS s1, sum(n) OVER () AS w, sum(n * c) OVER () AS s FROM k),
+g AS (SELECT b, c, (s1 / w1 + (s - s1) / (w - w1)) / 2 - c AS gap FROM w WHERE w1 > 0 AND w > w1),
+t AS (SELECT c AS t FROM g, mm WHERE gap >= 0 AND gap < (mx - mn) / {d.format(256)} ORDER BY b LIMIT 1) {mask}"""
+    SQL["threshold_yen"] = f"""WITH {fx.IMG}, {bins},
+p AS (SELECT b, c, n / sum(n) OVER () AS p FROM k),
+w AS (SELECT b, c, sum(p) OVER (ORDER BY b) AS p1, sum(p * p) OVER (ORDER BY b) AS q1, sum(p * p) OVER (ORDER BY b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q2 FROM p),
+t AS (SELECT c AS t FROM w WHERE b < 255 AND q1 * q2 > 0 AND p1 < 1 ORDER BY 2 * ln(p1 * (1 - p1)) - ln(q1 * q2) DESC, b LIMIT 1) {mask}"""
+    SQL["threshold_triangle"] = f"""WITH {fx.IMG}, {bins},
+e AS (SELECT min(b) AS first, max(b) AS last, arg_max(b, n) AS peak, max(n) AS high FROM (SELECT * FROM k WHERE n > 0 ORDER BY b)),
+f AS (SELECT *, peak - first < last - peak AS flip FROM e),
+q AS (SELECT b, c, n, CASE WHEN flip THEN last - b ELSE b - first END AS i, CASE WHEN flip THEN last - peak ELSE peak - first END AS width, high FROM k, f WHERE CASE WHEN flip THEN b > peak AND b <= last ELSE b >= first AND b < peak END),
+t AS (SELECT c AS t FROM q ORDER BY high * i - width * n DESC, i LIMIT 1) {mask}"""
+    SQL["threshold_multiotsu"] = f"""WITH {fx.IMG}, {bins},
+w AS (SELECT b, c, sum(n) OVER (ORDER BY b) AS w, sum(n * c) OVER (ORDER BY b) AS s, sum(n) OVER () AS wn, sum(n * c) OVER () AS sn, n FROM k),
+o AS (SELECT * FROM w WHERE n > 0),
+v AS (SELECT i.b AS i, j.b AS j, i.c AS t, i.s * i.s / i.w + pow(j.s - i.s, 2) / (j.w - i.w) + pow(j.sn - j.s, 2) / (j.wn - j.w) AS gain FROM o i JOIN o j ON i.b < j.b WHERE j.w < j.wn),
+t AS (SELECT t FROM v ORDER BY gain DESC, i, j LIMIT 1) {mask}"""
     QUERIES["threshold_histogram"] = lambda spark, sf: fx.image(spark, sf).crossJoin(F.broadcast(fx.image(spark, sf).agg(F.min("v").alias("mn"), F.max("v").alias("mx")))).groupBy(F.least(F.floor((F.col("v") - F.col("mn")) * F.lit(256.0) / (F.col("mx") - F.col("mn"))), F.lit(255)).cast("bigint").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     SQL["threshold_histogram"] = f"WITH {fx.IMG}, mm AS (SELECT min(v) AS mn, max(v) AS mx FROM img) SELECT CAST(least(floor((v - mn) * {d.format(256)} / (mx - mn)), 255) AS BIGINT) AS b, count(*) AS n FROM img, mm GROUP BY 1"
 
