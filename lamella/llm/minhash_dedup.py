@@ -4,8 +4,9 @@ A text's set holds its distinct shingles of ``width`` words (A-Z lower-cased). O
 its low 8 bits pick one of 256 buckets, and the smallest remainder in a bucket is stored as a 16-bit register,
 the count of leading zeros (6 bits) and the 10 bits after the first one.
 
-1. Sketch: one pass over the texts gives (id, set size, 128-bit digest of the set, registers). Equal sets become
-   one class, represented by its smallest id.
+1. Sketch: one pass over the texts gives (row, id, text, set size, 128-bit digest of the set, registers), written once. Rows are
+   numbered as they are written, so repeated and null ids don't matter. Equal sets become one class, represented by its first row,
+   and only that row's text is compared.
 2. Candidates: registers in 42 bands of 6; an empty bucket borrows a filled one's register in an order of its own. At
    a similarity of 0.8 the chance that no band agrees is below 3e-6.
 3. First pass: each representative meets one partner, the bucket minimum with which it shares most bands.
@@ -17,9 +18,14 @@ the count of leading zeros (6 bits) and the 10 bits after the first one.
 
 Links are exact in integers: 100 * intersection >= percent * union. Components follow from verified links alone.
 
+Documents that share a template just below the threshold agree in bands and in estimates without linking: the pairs of such a bucket grow with the
+square of its members. Results stay exact.
+
 Defined results: null or empty texts and texts without words have an empty set and link with nothing. Fewer than
-``width`` words: the sequence is the one shingle. Rows with a null id are returned with a null component and
-kept. Repeated rows get equal results. No rows: no rows. Other columns are ignored, whatever their names.
+``width`` words: the sequence is the one shingle. Very long texts are compared whole. Rows with a null id link as all others do, but have
+a null component and are kept in ``near_groups``; ``drop_near`` keeps one row of each component, whatever ids are null or repeated: the
+one with the smallest id, of these the first. Rows that repeat an id with different texts are documents of their own, which link each with
+its own partners. No rows: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._join import keep_rows, left_join_by_weight
+from ._join import keep_rows, keyed, left_join_by_weight
 from ._scratch import Scratch
 from ._words import U64, mix, shingle_keys, slabs, span_hash, word_spans
 
@@ -137,8 +143,8 @@ def _sketch(width: int):
                 regs.append(r.tobytes())
                 low.append(np.packbits((densified(r)[: 2 * 64] & 1).astype(np.uint8)).view(np.int64))
             low_0, low_1 = np.array(low).T
-            columns = [rows.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary()), pa.array(low_0), pa.array(low_1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hi", "set_lo", "regs", "low_0", "low_1"])
+            columns = [rows.column(0), rows.column(1), rows.column(2), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary()), pa.array(low_0), pa.array(low_1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "t", "n_shingles", "set_hi", "set_lo", "regs", "low_0", "low_1"])
 
     return run
 
@@ -183,17 +189,30 @@ def _verify(width: int, percent: int):
     return run
 
 
+SKETCH = "row long, doc_id long, t string, n_shingles long, set_hi long, set_lo long, regs binary, low_0 long, low_1 long"
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; component_id is the smallest id reachable over links."""
+    return _near_rows(docs, id_col, text_col, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _near_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, row_col: str | None = None) -> DataFrame:
+    """near_groups with each row's number, that of ``row_col`` where it is given, and ``stays``: the one row of its component that does."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    sketch = scratch.write(rows.mapInArrow(_sketch(width), "doc_id long, n_shingles long, set_hi long, set_lo long, regs binary, low_0 long, low_1 long"), "sketch")
+    number = F.col(row_col).alias("row") if row_col else F.lit(None).cast("long").alias("row")
+    rows = docs.select(number, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(_sketch(width), SKETCH)
+    sketch = scratch.write(rows if row_col else rows.withColumn("row", F.monotonically_increasing_id()), "sketch")
     total = sketch.count()
-    full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.write(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"])
-    reps = scratch.write(reps.groupBy("doc_id", "set_hi", "set_lo").agg(F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("regs", "low_0", "low_1"))).select(F.col("doc_id").alias("rep"), "n", "regs", "low_0", "low_1"), "reps")
+    full = sketch.where("n_shingles > 0")
+    # The smallest id, then the first row; a null id comes last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = full.groupBy("set_hi", "set_lo").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("members"), first)
+    classes = scratch.write(classes, "classes")
+    chosen = classes.select(F.col("rep").alias("row"))
+    reps = full.join(chosen, "row", "left_semi").select(F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "regs", "low_0", "low_1")
+    reps = scratch.write(reps, "reps")
 
     bands = reps.select("rep", "regs").mapInArrow(_bands, "key long, rep long")
     bands = scratch.write(bands, "all-bands")
@@ -202,21 +221,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop("all-bands")
 
     votes = bands.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("votes"))
-    first = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("m"))).alias("x")).select(F.col("rep").alias("b"), (-F.col("x.m")).alias("a"))
-    texts = rows.join(bands.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = scratch.write(texts.select("doc_id", "t"), "texts")
+    nearest = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("m"))).alias("x")).select(F.col("rep").alias("b"), (-F.col("x.m")).alias("a"))
+    texts = scratch.write(sketch.select("row", "t").join(bands.select(F.col("rep").alias("row")).distinct(), "row", "left_semi"), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         side = reps.select("rep", "n", "regs")
         pairs = pairs.join(side.toDF("a", "n_a", "regs_a"), "a").join(side.toDF("b", "n_b", "regs_b"), "b")
         pairs = pairs.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(_near(percent), "a long, b long")
         pairs = scratch.write(pairs, f"{name}-near")
-        joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("text_b")), "b")
-        joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("text_a")), "a")
+        joined = pairs.join(texts.select(F.col("row").alias("b"), F.col("t").alias("text_b")), "b")
+        joined = joined.join(texts.select(F.col("row").alias("a"), F.col("t").alias("text_a")), "a")
         joined = joined.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-        return scratch.write(joined.mapInArrow(_verify(width, percent), "a long, b long"), f"{name}-links")
+        links = scratch.write(joined.mapInArrow(_verify(width, percent), "a long, b long"), f"{name}-links")
+        scratch.drop(f"{name}-near")
+        return links
 
-    links = verified(first, "first")
+    links = verified(nearest, "first")
     found = scratch.write(components(links, scratch, "cc-first"), "found")
     bits = reps.select("rep", "n", "low_0", "low_1").join(found, reps["rep"] == found["node"], "left").select("rep", F.coalesce("component", "rep").alias("c"), "n", "low_0", "low_1")
     placed = scratch.write(bands.select("key", "rep").join(bits, "rep").select("key", "rep", "c", "n", "low_0", "low_1"), "placed")
@@ -226,24 +246,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     alike = f"bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= if(least(na, nb) < {BUCKETS}, 128, {_most_bits(percent)})"
     across = x.join(y, "key").where(f"a < b and ca <> cb and {sizes} and {alike}").select("a", "b").distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(across.join(tried, ["a", "b"], "left_anti"), "second")
     final = components(links.union(more), scratch, "cc-second")
-    return _result(sketch, classes, final, total)
-
 
-def _result(sketch: DataFrame, classes: DataFrame, final: DataFrame, total: int) -> DataFrame:
-    named = classes.join(final, classes["rep"] == final["node"], "left").select("set_hi", "set_lo", "members", F.coalesce("component", "rep").alias("component"))
-    out = left_join_by_weight(sketch.drop("regs", "low_0", "low_1").where("n_shingles > 0"), named, ["set_hi", "set_lo"], "members", total)
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    bare = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = classes.join(final, classes["rep"] == final["node"], "left").select("set_hi", "set_lo", "members", "first", F.coalesce("component", "rep").alias("c"))
+    named = scratch.write(named, "named")
+    scratch.drop("texts", "bands", "placed", "reps", "found", "classes", "first-links", "second-links")
+    whole = named.groupBy("c").agg(F.min("first").alias("lowest"), F.count(F.lit(1)).alias("classes"))
+    named = left_join_by_weight(named, whole, ["c"], "classes", total)
+    named = named.select("set_hi", "set_lo", "members", F.col("lowest.doc_id").alias("component"), F.col("lowest.row").alias("stays"))
+    out = left_join_by_weight(full.select("row", "doc_id", "n_shingles", "set_hi", "set_lo"), named, ["set_hi", "set_lo"], "members", total)
+    out = out.select("row", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), "stays")
+    bare = sketch.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("stays"))
     return out.union(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one document of each component stays."""
-    return keep_rows(docs, near_groups(docs, id_col, text_col, width, percent).where("not kept").select("doc_id"), id_col)
+    """The rows of ``docs``, with all their columns, of which one row of each component stays."""
+    rows, row = keyed(docs, "near-rows")
+    return keep_rows(rows, _near_rows(rows, id_col, text_col, width, percent, row).where(F.col("row") != F.col("stays")).select("row"), row).drop(row)
 
 
 def _most_bits(percent: int) -> int:

@@ -103,19 +103,33 @@ def test_near(docs, width):
     for r in minhash_dedup.near_groups(docs, width=width).collect():
         got.setdefault(r.doc_id, set()).add((r.n_shingles, r.component_id))
     s, ids = sets(width), [i for i, _ in ROWS]
-    parent = {i: i for i in ids if i is not None}
+    parent = list(range(len(ids)))
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for (i, a), (j, b) in itertools.combinations(zip(ids, s), 2):
-        if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+    for (i, a), (j, b) in itertools.combinations(enumerate(s), 2):
+        if a and b and 100 * len(a & b) >= 80 * len(a | b):
             x, y = sorted((find(i), find(j)))
             parent[y] = x
-    for i, a in zip(ids, s):
-        assert (len(a), None if i is None else find(i)) in got[i]
+    lowest = {}
+    for k, i in enumerate(ids):
+        if i is not None:
+            lowest[find(k)] = min(lowest.get(find(k), i), i)
+    for k, (i, a) in enumerate(zip(ids, s)):
+        assert (len(a), None if i is None else lowest[find(k)]) in got[i]
+
+
+def test_a_repeated_id_with_two_texts_loses_no_link(spark):
+    text = " ".join(f"w{k}" for k in range(120))
+    rows = [(1, text), (1, "something else altogether that is not alike"), (2, "new " + text[3:]), (2, "new " + text[3:]), (None, text + " end"), (None, "alone here with five words")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_groups(docs).collect())
+    assert got == {(1, 1, True): 2, (2, 1, False): 2, (None, None, True): 2}
+    kept = minhash_dedup.drop_near(docs)
+    assert kept.columns == docs.columns and sorted(r.row for r in kept.collect()) == [0, 1, 5]  # one row of each component
 
 
 def test_registers_and_estimates():
