@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the one that ``spark.checkpoint.dir`` names. Where the setting is absent (a laptop, tests) a
-folder is made and used for the life of the session. Tables are plain Parquet, so a lost executor costs
+The folder is the one that ``spark.checkpoint.dir`` names. Where the setting is absent, a local master (a laptop,
+tests) gets a folder for the life of the session, and any other master an error. Tables are plain Parquet, so a lost executor costs
 nothing that was written: readers start from files, not from another executor's blocks.
 """
 
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="lamella-")

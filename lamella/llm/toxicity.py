@@ -5,11 +5,13 @@ mean over its words, and a linear softmax turns it into a probability. Vectors a
 in numpy, so a misspelling never seen in training still scores through the n-grams that it shares.
 
 Fitting takes a bounded sample of labelled rows: of each class about ``SAMPLE_ROWS`` documents, chosen by a
-hash of the id. Scores cover all rows and whole texts. As everything after the n-grams is linear, a word adds one
-number to its text's mean, which is remembered by word.
+hash of the id, and words that occur in ``MIN_DOCS`` of them at least. Of documents that share a labelled id, one is taken. Scores cover all
+rows and whole texts. As everything after the n-grams is linear, a word adds one number to its text's mean, which is remembered by word.
+The mean isn't the plain one: it counts ``NEUTRAL`` words of no weight besides the text's own, and no word for more than ``MOST_SHARE`` of it.
 
 Defined results: null and empty texts score as a bag without words, by the softmax's bias alone. Null ids pass
-through. Without labelled rows of both classes every score is 0. Repeated rows get equal scores; no rows: no rows.
+through. Without labelled rows of both classes every score is 0. Very long texts count whole. A score at the threshold is
+toxic. Repeated rows get equal scores; no rows: no rows.
 Other columns are ignored, whatever their names.
 """
 
@@ -219,9 +221,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     spot: Column = F.pmod(F.xxhash64("i", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("y") == 0, min(1.0, sample_rows / max(sizes.get(0, 1), 1))).otherwise(min(1.0, sample_rows / max(sizes.get(1, 1), 1)))
-    taken = F.broadcast(marks.where(spot < share).distinct().limit(4 * sample_rows))
+    taken = F.broadcast(marks.where(spot < share).distinct().orderBy(spot, "i", "y").limit(4 * sample_rows))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    found = rows.join(taken, "i").select("t", "y").repartition(1).mapInArrow(_fit_task, "vectors binary, softmax binary, bias binary").first()
+    found = rows.join(taken, "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("t", "y").repartition(1).mapInArrow(_fit_task, "vectors binary, softmax binary, bias binary").first()
     if found is None:
         return None
     vectors, softmax, bias = (np.frombuffer(bytes(x), np.float32) for x in found)

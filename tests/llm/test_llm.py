@@ -319,6 +319,21 @@ def test_language_edges(docs, empty):
     assert got[3] == got[4] == got[5] == "und" and got[1] in ("aa", "bb") and language_id.identify(empty, model).count() == 0
 
 
+def test_scripts_without_spaces_are_learned(spark):
+    kana, han = "いろはにほへとちりぬるをわかよたれそつねならむ", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    rng = np.random.default_rng(1)
+    line = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(k, line(kana if k % 2 else han, 80), "ja" if k % 2 else "zh") for k in range(40)] + [(None, line(kana, 50), None), (None, line(han, 500), None), (7, line(han, 3), "zh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert abs(model.prob[:, 0] - model.prob[:, 1]).max() > 0.01
+    got = language_id.identify(docs, model).collect()
+    assert all(r.lang_pred == (want or ("ja" if text[0] in kana else "zh")) for r, (_, text, want) in zip(got, rows))
+    word = (kana * 20).encode()
+    parts = language_id.windows(word)
+    assert b"".join(parts) == word and max(map(len, parts)) <= language_id.WINDOW and all(p.decode() for p in parts)
+
+
 def test_toxicity(spark, docs):
     rng = np.random.default_rng(0)
     plain = [f"{a}{b}" for a in "bcdfgmnprst" for b in ("ara", "eli", "onu")]
@@ -460,3 +475,21 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, SF)
     ids = {r.doc_id for r in pieces.select("doc_id").distinct().collect()}
     assert 100 < len(ids) <= docs.count()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    text = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 600").orderBy("doc_id").limit(60)
+    plain = [(r.doc_id, r.text, r.lang, r.source) for r in text.collect()]
+    odd = [(None, plain[0][1], None, "a"), (None, None, None, None), (-5, "", None, None), (plain[1][0], plain[2][1], None, "b"), (None, plain[3][1] + " tail", None, "c")]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in plain + odd], "doc_id long, text string, lang string, source string, row string, component long")
+    for name, rows in (("some", docs), ("none", docs.where("false"))):
+        docs_dir = tmp_path / name
+        rows.coalesce(1).write.parquet(str(docs_dir / "documents.parquet"))
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(docs_dir / "labels.parquet"))
+        got = {r.doc_id for r in corpus_pipeline.run(spark, str(docs_dir)).select("doc_id").distinct().collect()}
+        if name == "none":
+            assert not got
+        else:
+            assert got and None not in got and -5 not in got  # copies without an id go, and texts without letters
