@@ -5,6 +5,7 @@ Real results are compared in millionths, as longs: NaN and infinities have numbe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.ufuncs import UFUNCS
 from ..operators import filters, labels, local_stats, neighbourhood, reduce, scan, threshold
+from ..operators.components import shared_folder
 from ..operators.multiscale import KERNELS
 from ..pyramid import Pyramid, PyramidCollection
+from ..sources import zarr
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,6 +471,26 @@ t AS (SELECT t FROM v ORDER BY gain DESC, i, j LIMIT 1) {mask}"""
     SQL["threshold_histogram"] = f"WITH {fx.IMG}, mm AS (SELECT min(v) AS mn, max(v) AS mx FROM img) SELECT CAST(least(floor((v - mn) * {d.format(256)} / (mx - mn)), 255) AS BIGINT) AS b, count(*) AS n FROM img, mm GROUP BY 1"
 
 
+def _stores() -> None:
+    """Chunked stores in the shared folder, written and read again."""
+
+    def stored(spark: SparkSession, sf: str, **kw) -> str:
+        path = f"{shared_folder(spark)}/zarr-{uuid.uuid4().hex}"
+        zarr.write_pyramid(pyramid(spark, sf), path, chunks=(64, 64), **kw)
+        return path
+
+    def overwritten(spark: SparkSession, sf: str) -> DataFrame:
+        path = stored(spark, sf, codec="zlib")
+        zarr.write_pyramid(zarr.read_pyramid(spark, path).ufunc("add", 1), path, overwrite=True, codec="zstd", chunks=(100, 16), separator="/")
+        return zarr.read_pyramid(spark, path).layer()
+
+    plain = f"WITH {fx.IMG} SELECT y, x, v FROM img"
+    QUERIES["zarr_round_trip"], SQL["zarr_round_trip"] = lambda spark, sf: zarr.read_pyramid(spark, stored(spark, sf, codec="blosc")).layer(), plain
+    QUERIES["zarr_crop"] = lambda spark, sf: zarr.read_array(spark, stored(spark, sf, codec="zlib") + "/0", crop={"y": (30, 300), "x": (5, 60)})
+    SQL["zarr_crop"] = f"{plain} WHERE y >= 30 AND y < 300 AND x >= 5 AND x < 60"
+    QUERIES["zarr_overwrite"], SQL["zarr_overwrite"] = overwritten, f"WITH {fx.IMG} SELECT y, x, v + 1 AS v FROM img"
+
+
 # -- labels ----------------------------------------------------------------------------------------------------
 
 
@@ -505,5 +528,5 @@ lab AS (SELECT img.y, img.x, coalesce(l.v, 0) AS v, img.v AS i FROM img LEFT JOI
     SQL["label_upsert"] = f"WITH RECURSIVE {comp} SELECT v AS label, CASE WHEN count(*) > 2 THEN count(*) * 10 ELSE count(*) END AS area FROM lab WHERE v > 0 GROUP BY v"
 
 
-for make in (_unary, _binary, _reductions, _layers, _filters, _thresholds, _labels):
+for make in (_unary, _binary, _reductions, _layers, _filters, _thresholds, _stores, _labels):
     make()

@@ -2,10 +2,12 @@
 
 Reading: ``spark.dataSource.register(ZarrSource)``, then ``spark.read.format("zarr").option("path", p).load()`` gives the axes' columns and v. Every
 chunk is a partition; ``option("crop", "y:0:100,x:5:9")`` leaves out chunks beyond the bounds before any is opened. Chunks that don't
-exist hold the fill value. Codecs: none, zlib, gzip, bz2, lzma, zstd.
+exist hold the fill value. Codecs: none, blosc (lz4, zlib, zstd and snappy frames), zlib, gzip, bz2, lzma, zstd.
 
 Writing: voxels are grouped by chunk, so a task holds one chunk; each file is written aside and renamed, so a task that runs again leaves the
-same bytes. Metadata is written last.
+same bytes. Metadata is written last. Overwriting a pyramid writes a whole new store beside the old one and swaps the two, so nothing of the old
+store is left, and a plan may read the store that it overwrites. Paths are folders that every executor sees under one name; other file systems'
+addresses raise ValueError.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import json
 import lzma
 import math
 import os
+import shutil
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -32,17 +35,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.dtypes import DTYPES, spark_type
 from ..meta import ORDER, ImageLabelMeta, Layer, Meta, default_chunks
 from ..pyramid import Pyramid
+from . import blosc
 
-CODECS = ("zlib", "gzip", "bz2", "lzma", "zstd", None)
+CODECS = ("blosc", "zlib", "gzip", "bz2", "lzma", "zstd", None)
 
 
 def local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
+    path = path.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"not a folder of a mounted file system: {path}")
+    return path
 
 
 def decode(data: bytes, codec: str | None) -> bytes:
     if codec is None:
         return data
+    if codec == "blosc":
+        return blosc.decode(data)
     if codec == "zstd":
         import zstandard
 
@@ -53,9 +62,11 @@ def decode(data: bytes, codec: str | None) -> bytes:
     return f(data)
 
 
-def encode(data: bytes, codec: str | None) -> bytes:
+def encode(data: bytes, codec: str | None, item: int = 1) -> bytes:
     if codec is None:
         return data
+    if codec == "blosc":
+        return blosc.encode(data, item)
     if codec == "zstd":
         import zstandard
 
@@ -162,6 +173,12 @@ def read_array(spark: SparkSession, path: str, axes: str | None = None, crop: di
     return reader.load()
 
 
+def compressor(codec: str | None) -> dict[str, Any] | None:
+    if codec == "blosc":
+        return {"id": "blosc", "cname": "lz4", "clevel": 5, "shuffle": 1, "blocksize": 0}
+    return {"id": codec} if codec else None
+
+
 def write_array(df: DataFrame, path: str, axes: str, shape: tuple[int, ...], dtype: str, chunks: tuple[int, ...] | None = None, codec: str | None = "zlib", separator: str = ".", fill: float = 0) -> int:
     """Write dense or sparse voxels; returns the number of chunk files. Chunks without rows aren't written."""
     chunks = tuple(chunks or default_chunks(shape))
@@ -176,13 +193,13 @@ def write_array(df: DataFrame, path: str, axes: str, shape: tuple[int, ...], dty
         os.makedirs(os.path.dirname(name), exist_ok=True)
         aside = f"{name}.{uuid.uuid4().hex}"
         with open(aside, "wb") as f:
-            f.write(encode(block.tobytes(), codec))
+            f.write(encode(block.tobytes(), codec, block.itemsize))
         os.replace(aside, name)
         return pd.DataFrame({"file": [name]})
 
     keyed = df.select(*axes, "v", *(F.floor(F.col(a) / c).cast("int").alias(f"__{a}") for a, c in zip(axes, chunks)))
     files = keyed.groupBy(*(f"__{a}" for a in axes)).applyInPandas(one, "file string").count()
-    meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": np.dtype(dtype).str, "compressor": {"id": codec} if codec else None, "fill_value": fill, "order": "C", "filters": None, "dimension_separator": separator}
+    meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": np.dtype(dtype).str, "compressor": compressor(codec), "fill_value": fill, "order": "C", "filters": None, "dimension_separator": separator}
     with open(os.path.join(root, ".zarray"), "w") as f:
         json.dump(meta, f)
     return files
@@ -224,8 +241,16 @@ def read_label_meta(path: str) -> ImageLabelMeta:
 
 def write_pyramid(pyramid: Pyramid, path: str, overwrite: bool = False, codec: str | None = "zlib", chunks: tuple[int, ...] | None = None, separator: str = ".", label_meta: ImageLabelMeta | None = None) -> None:
     root = local(path)
-    if path_has_pyramid(path) and not overwrite:
-        raise FileExistsError(path)
+    if path_has_pyramid(path):
+        if not overwrite:
+            raise FileExistsError(path)
+        root = root.rstrip("/")
+        fresh, old = f"{root}.{uuid.uuid4().hex}", f"{root}.{uuid.uuid4().hex}"
+        write_pyramid(pyramid, fresh, False, codec, chunks, separator, label_meta)
+        os.rename(root, old)
+        os.rename(fresh, root)
+        shutil.rmtree(old)
+        return
     os.makedirs(root, exist_ok=True)
     for p, df in pyramid.layers.items():
         layer = pyramid.meta.layers[p]
