@@ -9,9 +9,8 @@ distributions by the expected counts of their states (incremental expectation ma
 Training reads every training document. It starts from a factorisation of the counts of neighbouring frequent tokens over all training
 documents, takes a first round in one task on about ``WARM`` tokens, or on all of fewer up to ``MOST_PASSES`` times, so that all trainers start
 from one basis, then ``ROUNDS`` rounds that together read every training document: each round's share of the documents is
-split among trainers, about one per ``TRAINER`` tokens, which step on every ``EVERY``-th run of 256 blocks of their tokens (a fixed share, so
-training grows with the input; every run would cost about 400 CPU seconds a GB more) and whose weights are averaged by tokens and whose expected counts are summed, in
-tasks again; the driver holds one copy of the parameters. What is gathered (words, tokens, neighbours, expected counts) grows with the input.
+split among trainers, about one per ``TRAINER`` tokens, which step on every token of theirs, in runs of 256 blocks with the block before as
+context, and whose weights are averaged by tokens and whose expected counts are summed, in tasks again; the driver holds one copy of the parameters. What is gathered (words, tokens, neighbours, expected counts) grows with the input.
 
 Scoring lays a document's ids into blocks of 8. Each block's queries see the block before and their own past by a
 causal mask, so windows of 16 overlap by half and each token is scored once, many windows per matrix product.
@@ -48,7 +47,7 @@ DIM = 16
 BLOCK = 8
 RUN = 64  # blocks in a step of training
 WARM, MOST_PASSES = 5_000_000, 8
-TRAINER, ROUNDS, EVERY = 4_000_000, 2, 2
+TRAINER, ROUNDS = 4_000_000, 2
 END_WORD = np.int64(-(2**63))  # the fingerprint that stands for the end of a text
 f32 = np.float32
 
@@ -214,8 +213,8 @@ class Trainer:
     distributions, in tokens.
     """
 
-    def __init__(self, model: AttentionModel, expected: float, prior: float, rate: float = 0.02, run: int = RUN, every: int = 1, seed: int = 11):
-        self.run, self.every = run, every
+    def __init__(self, model: AttentionModel, expected: float, prior: float, rate: float = 0.02, run: int = RUN, seed: int = 11):
+        self.run = run
         self.row, self.begin = model.tokens.row, model.tokens.rows - 1
         self.w = {k: v.copy() for k, v in model.weights.items()}
         self.m, self.s = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
@@ -227,9 +226,11 @@ class Trainer:
 
     def learn(self, texts: list[np.ndarray]) -> None:
         inputs, target, begins, _ = _layout(texts, self.row, self.begin)
-        first = self.run * int(self.rng.integers(self.every))
-        for a in self.rng.permutation(np.arange(first, len(inputs), self.run * self.every)):
-            self._step(inputs[a : a + self.run], target[a : a + self.run], begins[a : a + self.run].copy())
+        for a in self.rng.permutation(np.arange(0, len(inputs), self.run)):
+            lead = 0 if begins[a] else 1  # the block before the first, as context only
+            t = target[a - lead : a + self.run].copy()
+            t[:lead] = -1
+            self._step(inputs[a - lead : a + self.run], t, begins[a - lead : a + self.run].copy())
 
     def _step(self, x: np.ndarray, t: np.ndarray, begins: np.ndarray) -> None:
         w, scale = self.w, f32(DIM**-0.5)
@@ -331,14 +332,14 @@ CHUNK = 4096
 PARTS = "key int, task int, n double, at binary, data binary"
 
 
-def _train(model: AttentionModel, expected: float, prior: float, rate: float, run: int, every: int, passes: int):
+def _train(model: AttentionModel, expected: float, prior: float, rate: float, run: int, passes: int):
     """One trainer per task; it returns its weights times its tokens (key -1) and what it added to the expected counts, by chunks of tokens."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         one_thread()
-        trainer = Trainer(model, expected * passes / every, prior, rate, run, every)
+        trainer = Trainer(model, expected * passes, prior, rate, run)
         runs = _runs(batches)
         if passes > 1:
             runs = list(runs) * passes
@@ -374,9 +375,9 @@ def _add_parts(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array([key], pa.int32()), "task": pa.array([table["task"][0].as_py()], pa.int32()), "n": [sum(table["n"].to_pylist())], "at": pa.array([at], pa.binary()), "data": pa.array([data], pa.binary())})
 
 
-def _round(scratch: Scratch, name: str, model: AttentionModel, rows: DataFrame, trainers: int, expected: float, prior: float, rate: float, run: int, every: int = 1, passes: int = 1) -> AttentionModel:
+def _round(scratch: Scratch, name: str, model: AttentionModel, rows: DataFrame, trainers: int, expected: float, prior: float, rate: float, run: int, passes: int = 1) -> AttentionModel:
     """Train on ``rows`` (ids), ``trainers`` partitions of them, and add up at most 64 trainers a task until one sum is left."""
-    parts = scratch.write(rows.mapInArrow(_train(model, expected, prior, rate, run, every, passes), PARTS), name)
+    parts = scratch.write(rows.mapInArrow(_train(model, expected, prior, rate, run, passes), PARTS), name)
     while trainers > 1:
         trainers = -(-trainers // 64)
         parts = parts.withColumn("task", F.pmod("task", F.lit(trainers))).groupBy("key", "task").applyInArrow(_add_parts, PARTS)
@@ -405,12 +406,12 @@ def train_model(scratch: Scratch, rows: DataFrame, count: np.ndarray) -> Attenti
     spot = F.pmod(F.xxhash64("row", F.lit("attention")), F.lit(1 << 30))
     warm, passes = min(n, WARM), int(np.clip(np.ceil(WARM / n), 1, MOST_PASSES))
     some = rows.where(spot < int(min(1.0, WARM / n) * (1 << 30))).select("ids").repartition(1)
-    model = _round(scratch, "warm", model, some, 1, warm, 0.05 * warm, 0.025, RUN, 1, passes)
+    model = _round(scratch, "warm", model, some, 1, warm, 0.05 * warm, 0.025, RUN, passes)
     each = n / ROUNDS
     for k in range(ROUNDS):
         trainers = max(1, round(each / TRAINER))
         part = rows.where(F.pmod(spot, F.lit(ROUNDS)) == k).select("ids").coalesce(trainers)
-        model = _round(scratch, f"round-{k}", model, part, trainers, each / trainers, 0.3 * each / EVERY, 0.015, 4 * RUN, EVERY)
+        model = _round(scratch, f"round-{k}", model, part, trainers, each / trainers, 0.3 * each, 0.015, 4 * RUN)
     return model
 
 

@@ -44,3 +44,41 @@ def test_every_occurrence_of_a_word_draws_its_own_dropout(spark):
         assert len(set(inner)) > 30  # segmentations of one word inside a line
         seen.append((r.doc_id, r.ids))
     assert len(set(seen)) == 2  # equal rows alike, documents apart
+
+
+def test_training_steps_on_every_token(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rounds, merge = [], attention_lm.merge
+
+    def spy(model, prior, parts, counts):
+        rounds.append(sum(n for n, _ in parts))
+        return merge(model, prior, parts, counts)
+
+    monkeypatch.setattr(attention_lm, "merge", spy)
+    monkeypatch.setattr(attention_lm, "MOST_PASSES", 1)
+    got, train_model = [], attention_lm.train_model
+    monkeypatch.setattr(attention_lm, "train_model", lambda scratch, rows, count: got.append(count.sum()) or train_model(scratch, rows, count))
+    attention_lm.score_documents(docs, docs.doc_id % 5 != 1)
+    assert len(rounds) == 1 + attention_lm.ROUNDS and sum(rounds[1:]) == got[0] > 100_000
+
+
+def test_a_step_sees_the_block_before_its_first(monkeypatch):
+    text = np.arange(1, 1 + 5 * attention_lm.BLOCK)
+    tokens = attention_lm.Tokens.of(np.ones(64))
+    model = attention_lm.start(tokens, np.ones((attention_lm.NEIGHBOURS + 2, attention_lm.NEIGHBOURS + 1)), steps=1)
+    trainer, steps = attention_lm.Trainer(model, 40, 1, run=2), []
+    step = trainer._step
+
+    def spy(x, t, begins):
+        steps.append((x.ravel().tolist(), t.ravel().tolist()))
+        step(x, t, begins)
+
+    monkeypatch.setattr(trainer, "_step", spy)
+    trainer.learn([text, text[:3]])
+    assert trainer.seen == len(text) + 3 and sorted(t for _, ts in steps for t in ts if t >= 0) == sorted([*text, *text[:3]])
+    rows = tokens.row[text].tolist()
+    for x, t in steps:
+        first = next(t for t in t if t >= 0)
+        if first != 1:
+            before = rows[first - 1 - attention_lm.BLOCK : first - 1]
+            assert x[x.index(rows[first - 2]) - attention_lm.BLOCK + 1 :][: attention_lm.BLOCK] == before
