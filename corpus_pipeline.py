@@ -1,8 +1,8 @@
 """A training corpus from raw documents: the stages in order, each over all that its predecessor kept.
 
 The filtering stages learn from their own input, decide about every row of it and return the columns of
-``documents``; the last one returns the pieces of the packed sequences. Every stage numbers the rows of its input and decides by
-these numbers, so rows whose doc_id is null or repeated stay or go each on its own merits.
+``documents``; the last one returns the pieces of the packed sequences. The first two decide about a row as it passes, the deduplications
+number the rows of their input and decide by these numbers, so rows whose doc_id is null or repeated stay or go each on its own merits.
 
 Defined results: null and empty texts have no letter and go in the first stage; repeated rows are equal texts, of which one stays; very long
 texts are judged and packed whole; an empty table gives no rows; further columns are kept until the last stage, whatever their names.
@@ -11,11 +11,9 @@ texts are judged and packed whole; an empty table gives no rows; further columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lamella.llm import language_id as languages
 from lamella.llm import toxicity as toxic
-from lamella.llm._join import keep_rows, keyed
 from lamella.llm._scratch import Scratch
 from lamella.llm.exact_dedup import drop_copies
 from lamella.llm.minhash_dedup import drop_near
@@ -28,17 +26,13 @@ TOXIC_SCORE = 0.7
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those whose best language has a posterior below one half."""
-    rows, row = keyed(docs, "language-rows")
-    found = languages.identify(rows, languages.train(rows, id_col=row), id_col=row)
-    return keep_rows(rows, found.where(f"lang_pred = 'und' or score < {LEAST_LANGUAGE_SCORE}").select("doc_id"), row).drop(row)
+    return docs.where(languages.language_score(docs["text"], languages.train(docs)) >= LEAST_LANGUAGE_SCORE)  # und scores 0
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that score 0.7 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    rows, row = keyed(docs, "toxicity-rows")
-    found = toxic.score(rows, toxic.train(rows, labels), id_col=row)
-    return keep_rows(rows, found.where(F.col("score") >= TOXIC_SCORE).select("doc_id"), row).drop(row)
+    return docs.where(toxic.toxic_score(docs["text"], toxic.train(docs, labels)) < TOXIC_SCORE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Equi-joins that keep hot keys out of the shuffle, and rows under keys of their own."""
+"""Equi-joins that keep hot keys out of the shuffle, rows under keys of their own, and scores of rows by their texts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
@@ -33,6 +35,16 @@ def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     return Scratch(docs.sparkSession, name).write(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
+def by_text(judge: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]], text: Column) -> Column:
+    """``judge``'s score of every row's text, found as the row passes: no other column goes to Python, and no row is copied or joined."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for _, score in judge(pa.RecordBatch.from_arrays([t], names=["t"]) for t in texts):
+            yield pa.array(score, pa.float64())
+
+    return F.arrow_udf(run, "double")(text.cast("string"))
+
+
 def keep_rows(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` whose key isn't in ``dropped`` (one column)."""
     return docs.join(dropped.toDF(key), key, "left_anti").select(*docs.columns)

@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._join import by_text
 from ._memo import WordMemo, padded
 from ._vocab import vocabulary_path
 from ._words import LOWER, U64, slabs, span_hash
@@ -207,8 +208,10 @@ def has_letter(text: bytes) -> bool:
     return regex.search(r"\p{L}", text.decode("utf-8", "replace")) is not None
 
 
-def _predict(model: LanguageModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(model: LanguageModel):
+    """Per slab of texts ``t``: (its rows, predicted languages, scores)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
         pieces = Pieces(model.path) if model.languages else None
         langs = len(model.languages)
 
@@ -244,6 +247,14 @@ def _predict(model: LanguageModel):
                 share = np.where(lettered, share, 0.0)
             else:
                 names, share = ["und"] * n, np.zeros(n)
+            yield rows, names, share
+
+    return run
+
+
+def _predict(model: LanguageModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, names, share in _judge(model)(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return run
@@ -272,3 +283,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """(doc_id, lang_pred, score) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+
+
+def language_score(text: Column, model: LanguageModel) -> Column:
+    """The score that ``identify`` gives a text; 0 where it says ``und``."""
+    return by_text(lambda batches: ((rows, share) for rows, _, share in _judge(model)(batches)), text)

@@ -5,7 +5,7 @@ its low 8 bits pick one of 256 buckets, and the smallest remainder in a bucket i
 the count of leading zeros (6 bits) and the 10 bits after the first one.
 
 1. Sketch: one pass over the texts gives (row, id, text, set size, 128-bit digest of the set, registers), written once. Rows are
-   numbered as they are written, so repeated and null ids don't matter. Equal sets become one class, represented by its first row,
+   numbered as they are written, so repeated and null ids don't matter; where they come with numbers, their texts aren't written again. Equal sets become one class, represented by its first row,
    and only that row's text is compared.
 2. Candidates: registers in 42 bands of 6; an empty bucket borrows a filled one's register in an order of its own. At
    a similarity of 0.8 the chance that no band agrees is below 3e-6.
@@ -130,7 +130,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return np.clip((same - expected) / np.maximum(used, 1), 0, 1), used
 
 
-def _sketch(width: int):
+def _sketch(width: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slabs(batches, "t"):
             n, hi, lo, regs, low = [], [], [], [], []
@@ -143,8 +143,9 @@ def _sketch(width: int):
                 regs.append(r.tobytes())
                 low.append(np.packbits((densified(r)[: 2 * 64] & 1).astype(np.uint8)).view(np.int64))
             low_0, low_1 = np.array(low).T
-            columns = [rows.column(0), rows.column(1), rows.column(2), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary()), pa.array(low_0), pa.array(low_1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "t", "n_shingles", "set_hi", "set_lo", "regs", "low_0", "low_1"])
+            made = {"n_shingles": pa.array(n, pa.int64()), "set_hi": pa.array(hi, pa.int64()), "set_lo": pa.array(lo, pa.int64()), "regs": pa.array(regs, pa.binary()), "low_0": pa.array(low_0), "low_1": pa.array(low_1)}
+            columns = [made[k] if k in made else rows.column(rows.schema.get_field_index(k)) for k in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -202,7 +203,9 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     number = F.col(row_col).alias("row") if row_col else F.lit(None).cast("long").alias("row")
-    rows = docs.select(number, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(_sketch(width), SKETCH)
+    rows = docs.select(number, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    shape = SKETCH.replace("t string, ", "") if row_col else SKETCH
+    source, rows = rows, rows.mapInArrow(_sketch(width, [x.split()[0] for x in shape.split(", ")]), shape)
     sketch = scratch.write(rows if row_col else rows.withColumn("row", F.monotonically_increasing_id()), "sketch")
     total = sketch.count()
     full = sketch.where("n_shingles > 0")
@@ -222,7 +225,7 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
 
     votes = bands.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("votes"))
     nearest = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("m"))).alias("x")).select(F.col("rep").alias("b"), (-F.col("x.m")).alias("a"))
-    texts = scratch.write(sketch.select("row", "t").join(bands.select(F.col("rep").alias("row")).distinct(), "row", "left_semi"), "texts")
+    texts = scratch.write((source if row_col else sketch).select("row", "t").join(bands.select(F.col("rep").alias("row")).distinct(), "row", "left_semi"), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         side = reps.select("rep", "n", "regs")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._join import by_text
 from ._memo import WordMemo, padded
 from ._words import LOWER, U64, slabs, span_hash, word_spans
 
@@ -187,8 +188,11 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(t[0]) / scale, float(t[1])
 
 
-def _score(logits: np.ndarray | None, bias: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(model: ToxicityModel | None):
+    """Per slab of texts ``t``: (its rows, scores)."""
+    logits, bias = (None, 0.0) if model is None else (model.gram_logits(), float(model.bias[1] - model.bias[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         def make(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
             bucket, owner = grams(data, start, end)
             n = len(start)
@@ -206,7 +210,7 @@ def _score(logits: np.ndarray | None, bias: float):
                 text, which = pair // max(len(value), 1), pair % max(len(value), 1)
                 mean = np.bincount(text, value[which, 0] * np.minimum(times, np.maximum(1, MOST_SHARE * size[text])), n) / size
                 p = 1 / (1 + np.exp(-np.clip(mean + bias, -500, 500)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
+            yield rows, p
 
     return run
 
@@ -246,5 +250,15 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row; higher means label 1 is likelier."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    logits, bias = (None, 0.0) if model is None else (model.gram_logits(), float(model.bias[1] - model.bias[0]))
-    return rows.mapInArrow(_score(logits, bias), "doc_id long, score double")
+    judge = _judge(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, p in judge(batches):
+            yield pa.RecordBatch.from_arrays([found.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
+
+    return rows.mapInArrow(run, "doc_id long, score double")
+
+
+def toxic_score(text: Column, model: ToxicityModel | None) -> Column:
+    """The score that ``score`` gives a text."""
+    return by_text(_judge(model), text)

@@ -82,3 +82,26 @@ def test_a_step_sees_the_block_before_its_first(monkeypatch):
         if first != 1:
             before = rows[first - 1 - attention_lm.BLOCK : first - 1]
             assert x[x.index(rows[first - 2]) - attention_lm.BLOCK + 1 :][: attention_lm.BLOCK] == before
+
+
+def test_the_pipeline_holds_texts_once_a_stage(spark, monkeypatch):
+    import corpus_pipeline
+    from lamella.llm import _scratch, language_id, toxicity
+
+    sf = "/root/testdata/sf0.01"
+    docs, written, write = spark.read.parquet(f"{sf}/documents.parquet"), {}, _scratch.Scratch.write
+
+    def spy(self, df, name):
+        written[name] = df.columns
+        return write(self, df, name)
+
+    monkeypatch.setattr(_scratch.Scratch, "write", spy)
+    clear = language_id.identify(docs, language_id.train(docs)).where(f"lang_pred <> 'und' and score >= {corpus_pipeline.LEAST_LANGUAGE_SCORE}")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(corpus_pipeline.language_id(spark, docs, sf)) == ids(clear)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    clean = toxicity.score(docs, toxicity.train(docs, labels)).where(f"score < {corpus_pipeline.TOXIC_SCORE}")
+    assert ids(corpus_pipeline.toxicity(spark, docs, sf)) == ids(clean)
+    assert not written
+    corpus_pipeline.minhash_near_dedup(spark, docs, sf)
+    assert {"text", "t"} & {*written["rows"]} and not {"text", "t"} & {*written["sketch"]}
