@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import tidy
 from ._scratch import Scratch
 
 HOT_SHARE = 1024
@@ -42,7 +43,7 @@ def by_text(judge: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.Record
         for _, score in judge(pa.RecordBatch.from_arrays([t], names=["t"]) for t in texts):
             yield pa.array(score, pa.float64())
 
-    return F.arrow_udf(run, "double")(text.cast("string"))
+    return F.arrow_udf(tidy(run), "double")(text.cast("string"))
 
 
 def keep_rows(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:

@@ -47,6 +47,11 @@ def _power_arrays(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget_powers() -> None:
+    """Drop the arrays of powers, which are made again when asked for."""
+    _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if column.null_count:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ._join import by_text
 from ._memo import WordMemo, padded
+from ._memory import tidy
 from ._vocab import vocabulary_path
 from ._words import LOWER, U64, slabs, span_hash
 
@@ -282,7 +283,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_predict(model)), "doc_id long, lang_pred string, score double")
 
 
 def language_score(text: Column, model: LanguageModel) -> Column:

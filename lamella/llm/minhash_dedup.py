@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._join import keep_rows, keyed, left_join_by_weight
+from ._memory import tidy
 from ._scratch import Scratch
 from ._words import U64, mix, shingle_keys, slabs, span_hash, word_spans
 
@@ -205,7 +206,7 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     number = F.col(row_col).alias("row") if row_col else F.lit(None).cast("long").alias("row")
     rows = docs.select(number, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     shape = SKETCH.replace("t string, ", "") if row_col else SKETCH
-    source, rows = rows, rows.mapInArrow(_sketch(width, [x.split()[0] for x in shape.split(", ")]), shape)
+    source, rows = rows, rows.mapInArrow(tidy(_sketch(width, [x.split()[0] for x in shape.split(", ")])), shape)
     sketch = scratch.write(rows if row_col else rows.withColumn("row", F.monotonically_increasing_id()), "sketch")
     total = sketch.count()
     full = sketch.where("n_shingles > 0")
@@ -235,7 +236,7 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
         joined = pairs.join(texts.select(F.col("row").alias("b"), F.col("t").alias("text_b")), "b")
         joined = joined.join(texts.select(F.col("row").alias("a"), F.col("t").alias("text_a")), "a")
         joined = joined.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-        links = scratch.write(joined.mapInArrow(_verify(width, percent), "a long, b long"), f"{name}-links")
+        links = scratch.write(joined.mapInArrow(tidy(_verify(width, percent)), "a long, b long"), f"{name}-links")
         scratch.drop(f"{name}-near")
         return links
 

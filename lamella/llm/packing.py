@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import tidy
 from ._vocab import WordEncoder, vocabulary_path
 from ._words import slabs
 
@@ -148,4 +149,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """
     path = tokenizer or vocabulary_path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(_run(path, capacity, end, epoch), SCHEMA)
+    return rows.mapInArrow(tidy(_run(path, capacity, end, epoch)), SCHEMA)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ._join import by_text
 from ._memo import WordMemo, padded
+from ._memory import tidy
 from ._words import LOWER, U64, slabs, span_hash, word_spans
 
 SAMPLE_ROWS = 2500
@@ -227,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("y") == 0, min(1.0, sample_rows / max(sizes.get(0, 1), 1))).otherwise(min(1.0, sample_rows / max(sizes.get(1, 1), 1)))
     taken = F.broadcast(marks.where(spot < share).distinct().orderBy(spot, "i", "y").limit(4 * sample_rows))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    found = rows.join(taken, "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("t", "y").repartition(1).mapInArrow(_fit_task, "vectors binary, softmax binary, bias binary").first()
+    found = rows.join(taken, "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("t", "y").repartition(1).mapInArrow(tidy(_fit_task), "vectors binary, softmax binary, bias binary").first()
     if found is None:
         return None
     vectors, softmax, bias = (np.frombuffer(bytes(x), np.float32) for x in found)
@@ -256,7 +257,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
         for found, p in judge(batches):
             yield pa.RecordBatch.from_arrays([found.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def toxic_score(text: Column, model: ToxicityModel | None) -> Column:
