@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._blas import one_thread
+from ._memory import tidy
 from ._scratch import Scratch
 from ._vocab import WordEncoder, vocabulary_path
 from ._words import U64, slabs, span_hash, word_spans
@@ -117,9 +118,14 @@ def _exp(z: np.ndarray, most: float) -> np.ndarray:
     return np.exp(z, out=z)
 
 
+def _longest(x: np.ndarray) -> float:
+    """The greatest squared length of the vectors along the last axis."""
+    return np.einsum("btd,btd->bt", x, x).max(initial=0)
+
+
 def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, near: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = q @ k.transpose(0, 2, 1)
-    most = float(np.sqrt((q * q).sum(2).max() * (k * k).sum(2).max()) + np.abs(near[near > -1e8]).max())
+    most = float(np.sqrt(_longest(q) * _longest(k)) + np.abs(near[near > -1e8]).max())
     s += near
     s[begins, :, :BLOCK] = -1e9
     _exp(s, most)
@@ -377,7 +383,7 @@ def _add_parts(table: pa.Table) -> pa.Table:
 
 def _round(scratch: Scratch, name: str, model: AttentionModel, rows: DataFrame, trainers: int, expected: float, prior: float, rate: float, run: int, passes: int = 1) -> AttentionModel:
     """Train on ``rows`` (ids), ``trainers`` partitions of them, and add up at most 64 trainers a task until one sum is left."""
-    parts = scratch.write(rows.mapInArrow(_train(model, expected, prior, rate, run, passes), PARTS), name)
+    parts = scratch.write(rows.mapInArrow(tidy(_train(model, expected, prior, rate, run, passes)), PARTS), name)
     while trainers > 1:
         trainers = -(-trainers // 64)
         parts = parts.withColumn("task", F.pmod("task", F.lit(trainers))).groupBy("key", "task").applyInArrow(_add_parts, PARTS)
@@ -503,7 +509,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     vocabulary = max(len(WordEncoder(path).model.get_vocab()), end + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.coalesce(train & F.col(id_col).isNotNull(), F.lit(False)).alias("train"))
     shape = "kind int, doc_id long, t string, train boolean, ids binary, keys array<long>, counts array<long>"
-    made = rows.mapInArrow(_words_and_ids(path, end, vocabulary), shape)
+    made = rows.mapInArrow(tidy(_words_and_ids(path, end, vocabulary)), shape)
     made.withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").partitionBy("kind").parquet(scratch.path("pass"))
     made = docs.sparkSession.read.schema(f"{shape}, row long").parquet(scratch.path("pass"))
     counts = made.where("kind > 0").select("kind", F.explode(F.arrays_zip("keys", "counts")).alias("x")).groupBy("kind", F.col("x.keys").alias("key")).agg(F.sum("x.counts").alias("c"))
@@ -523,7 +529,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     head, head_logs = best["key"].to_numpy()[order], log(best["c"].to_numpy()[order].astype(float))
 
     scored = texts.select("row", "doc_id", F.coalesce("t", F.lit("")).alias("t"), "ids")
-    scored = scored.mapInArrow(_score(model, head, head_logs, float(log(ends)), ends > 0), "row long, doc_id long, n_tokens long, known long, base double, score double, others array<long>")
+    scored = scored.mapInArrow(tidy(_score(model, head, head_logs, float(log(ends)), ends > 0)), "row long, doc_id long, n_tokens long, known long, base double, score double, others array<long>")
     scored = scratch.write(scored, "scored")
     scratch.drop("pass")
     rest = scored.select("row", F.explode("others").alias("key")).groupBy("key", "row").agg(F.count(F.lit(1)).alias("n"))

@@ -23,16 +23,27 @@ def test_freed_memory_goes_back_after_the_last_batch():
     assert n == 300_000 and most > before + 80 and _resident() < before + 40
 
 
+def _powers_held(spark) -> set[int]:
+    def held(batches):
+        from lamella.llm import _words
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(_words._powers[0])])], names=["n"])
+
+    return {r.n for r in spark.range(64).mapInArrow(held, "n long").collect()}
+
+
 def test_an_idle_worker_of_the_pipeline_holds_no_powers(spark):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.01"
     assert corpus_pipeline.language_id(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count()
+    assert _powers_held(spark) == {1}
 
-    def held(batches):
-        from lamella.llm import _words
 
-        for _ in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(_words._powers[0])])], names=["n"])
+def test_an_idle_worker_of_the_attention_model_holds_no_powers(spark):
+    from lamella.llm import attention_lm
 
-    assert {r.n for r in spark.range(64).mapInArrow(held, "n long").collect()} == {1}
+    docs = spark.createDataFrame([(k, f"the cat number {k} sat on mat {k % 7}") for k in range(40)], "doc_id long, text string")
+    assert attention_lm.score_documents(docs, docs.doc_id % 5 != 1).count() == 40
+    assert _powers_held(spark) == {1}
