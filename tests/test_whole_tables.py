@@ -90,3 +90,18 @@ def test_products_medians_and_combinations_cover_the_whole_table(spark, tmp_path
     assert run("create_pad") == cells(np.pad(v, ((2, 1), (0, 3)), constant_values=9))
     collection = arrays.QUERIES["combine_collection"](spark, folder).select("img", "layer", "y", "x", "v")
     assert rows_of(collection) == sorted((y // 200, "0", y % 200, x, v[y, x]) for y in range(n) for x in range(WIDTH))
+
+
+def test_powers_beyond_64_bits_in_millionths_are_the_nearest_longs(spark, tmp_path):
+    v = np.array([[48, 203, 53, 60], [6, 6, 13, 5]])  # the other row's remainder by 7, plus 1, is the exponent
+    e = ((v + 0.5) / 127 - 1).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": pa.array([0, 1]), "embedding": pa.array(list(e), pa.list_(pa.float32()))}), f"{tmp_path}/embeddings.parquet")
+    powers = [[int(v[y, x] - 127) ** int(v[1 - y, x] % 7 + 1) * 10**6 for x in range(4)] for y in (0, 1)]
+    assert powers[0][0] < -(2**63) and powers[0][1] > 2**63
+    want = np.clip(np.array(powers, object), -(2**63), 2**63 - 1)
+    got = rows_of(arrays.QUERIES["ufunc_power"](spark, str(tmp_path)))
+    assert [r[:2] for r in got] == [(y, x) for y in (0, 1) for x in range(4)]
+    for y, x, n in got:  # doubles of 53 bits
+        assert n == want[y, x] if abs(want[y, x]) >= 2**63 - 1 else abs(n - want[y, x]) <= abs(want[y, x]) * 2**-52
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (-float("inf"),), (1e303,), (-1e303,), (None,), (1.5e-6,)], "v double")
+    assert [r[0] for r in odd.select(arrays.micro(odd["v"])).collect()] == [-(10**15), 10**15, 1 - 10**15, 2**63 - 1, -(2**63), None, 2]
