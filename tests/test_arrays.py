@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamella.api import Aggregative, BasicOperations, Converter, Filters, Settings, Threshold
 from lamella.meta import ImageLabelMeta, Layer, Meta, planned_shapes
-from lamella.operators import filters, labels, neighbourhood, threshold
+from lamella.operators import filters, labels, neighbourhood, reduce, threshold
 from lamella.pyramid import Pyramid, PyramidCollection
 from lamella.sources import zarr
 
@@ -53,6 +54,20 @@ def test_reductions_keep_axes(spark):
         np.testing.assert_array_equal(got, getattr(np, name)(A, axis=1, keepdims=True))
 
 
+def test_two_phase_reduction_spreads_its_groups_and_keeps_nan(spark):
+    a = RNG.normal(size=(400, 3, 5))
+    a[7, :, 2] = np.nan
+    two_phase = lambda axis: pyr(spark, a, "zyx").reduce("reduction", axis, chunk=lambda s: s.sum(skipna=False), aggregate=lambda s: s.sum(skipna=False))
+    for axis, k in (("x", 2), ("yx", (1, 2)), ("z", 0)):
+        want = a.sum(k, keepdims=True)
+        np.testing.assert_allclose(array(two_phase(axis).layer(), "zyx", want.shape), want)
+    assert np.isnan(two_phase("zyx").layer().first()["v"])
+    # Every group takes a call of Python, so few bytes in many groups mustn't end in one task.
+    assert two_phase("x").layer().select(F.spark_partition_id()).distinct().count() > 1
+    empty = reduce.reduction(spark.createDataFrame([], "y int, x int, v double"), "yx", max, max, "yx")
+    assert empty.count() == 0
+
+
 @pytest.mark.parametrize("mode", list(PAD))
 def test_correlation_in_every_mode(spark, mode):
     w = RNG.normal(size=(3, 4))
