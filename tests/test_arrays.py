@@ -55,7 +55,7 @@ def test_reductions_keep_axes(spark):
 
 
 def test_two_phase_reduction_spreads_its_groups_and_keeps_nan(spark):
-    a = RNG.normal(size=(400, 3, 5))
+    a = np.random.default_rng(3).normal(size=(400, 3, 5))
     a[7, :, 2] = np.nan
     two_phase = lambda axis: pyr(spark, a, "zyx").reduce("reduction", axis, chunk=lambda s: s.sum(skipna=False), aggregate=lambda s: s.sum(skipna=False))
     for axis, k in (("x", 2), ("yx", (1, 2)), ("z", 0)):
@@ -68,6 +68,42 @@ def test_two_phase_reduction_spreads_its_groups_and_keeps_nan(spark):
     assert empty.count() == 0
 
 
+def convex_area(at):
+    """Pixels that lie beyond no line through two of the points that has none of them beyond it; coordinates are doubled."""
+    points = np.unique(np.concatenate([2 * at + step for step in ((0, 1), (0, -1), (1, 0), (-1, 0))]), axis=0)
+    d = points[None] - points[:, None]
+    side = lambda q: d[..., 0] * (q[1] - points[:, None, 1]) - d[..., 1] * (q[0] - points[:, None, 0])
+    edges = np.minimum.reduce([side(q) for q in points]) >= 0
+    box = [range(lo, hi + 1) for lo, hi in zip(at.min(0), at.max(0))]
+    return sum((side((2 * y, 2 * x))[edges] >= 0).all() for y in box[0] for x in box[1])
+
+
+def test_convex_areas_of_many_labels_are_spread(spark, monkeypatch):
+    v = np.zeros((24, 30), np.int64)
+    v[0, :5] = v[3:6, 20] = v[5:14, 3] = v[13, 3:16] = v[10:13, 16] = 1
+    v[range(15, 23), range(10, 26, 2)] = v[range(15, 23), range(11, 27, 2)] = 1
+    v += 2 * (np.random.default_rng(3).random(v.shape) > 0.95) * (v == 0)
+    df = pyr(spark, v).layer()
+    names = array(labels.label(df, "yx", v.shape), "yx", v.shape, np.int64)
+    got = {r["label"]: r["area_convex"] for r in labels.properties(labels.label(df, "yx", v.shape), df, "yx", ("area_convex",)).collect()}
+    assert set(got) == set(names[names > 0])
+    assert got == {n: convex_area(np.argwhere(names == n)) for n in got}
+    # A label in several pieces, as tables of labels may have it: their common hull.
+    apart = spark.createDataFrame([(0, 0, 5), (4, 8, 5), (7, 2, 6)], "y int, x int, v long")
+    want = [(5, 2, convex_area(np.array([(0, 0), (4, 8)]))), (6, 1, 1)]
+    assert sorted(map(tuple, labels.properties(apart, apart, "yx", ("area", "area_convex")).collect())) == want
+
+    def tasks(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["label"], pa.array([TaskContext.get().partitionId()] * len(b), pa.int64())], ["label", "area_convex"])
+
+    monkeypatch.setattr(labels, "_hulls", tasks)
+    assert labels.properties(labels.label(df, "yx", v.shape), df, "yx", ("area_convex",)).select("area_convex").distinct().count() > 1
+
+
 @pytest.mark.parametrize("mode", list(PAD))
 def test_correlation_in_every_mode(spark, mode):
     w = RNG.normal(size=(3, 4))
